@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,10 +34,16 @@ WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u2
 #: Characters that Unicode versions treat differently: unassigned in some, or beyond the basic plane.
 RARE = regex.compile("[\\p{Cn}\\u1c80-\\u1c8f\\ua7c0-\\ua7ff\\U00010000-\\U0010ffff]")
 
+#: What plain Latin text does not hold: there the standard library's faster engine agrees.
+PLAIN = re.compile("[^\\x00-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]|[\\x1c-\\x1f]")
+
+#: Bits that hold a token id.
+SHIFT = 20
+
 #: A vocabulary file beyond this is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words whose tokens a worker keeps; then it begins anew.
-MAX_KEPT_WORDS = 400_000
+MAX_KEPT_WORDS = 600_000
 
 
 def byte_characters() -> list[str]:
@@ -69,13 +76,15 @@ class WordBpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", WHITE_SPACE))
+        self.plain_pieces = re.compile(split["pattern"]["Regex"].replace("[^\\s\\p{L}\\p{N}]", "(?:[^\\s\\w]|_)").replace("[\\p{L}]", "[^\\W\\d_]").replace("[\\p{N}]", "\\d"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left << SHIFT | right: (rank, merged)
+        self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault(self.vocab[a] << SHIFT | self.vocab[b], (rank, self.vocab[a + b]))
         chars = byte_characters()
         self.inner = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + self.suffix) for c in chars]
@@ -100,30 +109,29 @@ class WordBpe:
             before += [-1, *range(at, at + len(ids) - 1)] if ids else []
             after += [*range(at + 1, at + len(ids)), -1] if ids else []
             owner += [w] * len(ids)
-        merges = self.merges
-        places: dict[int, list[int]] = {}
-        into: dict[int, tuple[int, int, int]] = {}
+        merge_of = self.merges.get
+        #: rank: positions of its pair, left symbol, right symbol, merged symbol
+        index: dict[int, tuple[list[int], int, int, int]] = {}
         for i, j in enumerate(after):
-            if j >= 0 and (m := merges.get((symbol[i], symbol[j]))):
-                if m[0] in places:
-                    places[m[0]].append(i)
+            if j >= 0 and (m := merge_of(symbol[i] << SHIFT | symbol[j])):
+                if (e := index.get(m[0])) is None:
+                    index[m[0]] = ([i], symbol[i], symbol[j], m[1])
                 else:
-                    places[m[0]] = [i]
-                    into[m[0]] = (symbol[i], symbol[j], m[1])
-        active = list(places)
+                    e[0].append(i)
+        active = list(index)
         heapq.heapify(active)
+        push = heapq.heappush
         while active:
             rank = heapq.heappop(active)
-            at = places.pop(rank, None)
-            if at is None:
-                continue
-            left, right, merged = into[rank]
+            at, left, right, merged = index.pop(rank)
             at.sort()
             waiting: list[int] = []
             held = -1  # a word in which a merge made a pair of a lower rank: that one goes first
             for i in at:
+                if symbol[i] != left:
+                    continue
                 j = after[i]
-                if symbol[i] != left or j < 0 or symbol[j] != right:
+                if j < 0 or symbol[j] != right:
                     continue
                 if owner[i] == held:
                     waiting.append(i)
@@ -133,20 +141,28 @@ class WordBpe:
                 h = before[i]
                 if k >= 0:
                     before[k] = i
-                for x, y in ((h, i), (i, k)):
-                    if x >= 0 and y >= 0 and (m := merges.get((symbol[x], symbol[y]))):
-                        if m[0] in places:
-                            places[m[0]].append(x)
+                    if m := merge_of(merged << SHIFT | symbol[k]):
+                        if (e := index.get(m[0])) is None:
+                            index[m[0]] = ([i], merged, symbol[k], m[1])
+                            push(active, m[0])
                         else:
-                            places[m[0]] = [x]
-                            into[m[0]] = (symbol[x], symbol[y], m[1])
-                            heapq.heappush(active, m[0])
+                            e[0].append(i)
                         if m[0] < rank:
                             held = owner[i]
+                if h >= 0 and (m := merge_of(symbol[h] << SHIFT | merged)):
+                    if (e := index.get(m[0])) is None:
+                        index[m[0]] = ([h], symbol[h], merged, m[1])
+                        push(active, m[0])
+                    else:
+                        e[0].append(h)
+                    if m[0] < rank:
+                        held = owner[i]
             if waiting:
-                places[rank] = places.get(rank, []) + waiting
-                into[rank] = (left, right, merged)
-                heapq.heappush(active, rank)
+                if (e := index.get(rank)) is None:
+                    index[rank] = (waiting, left, right, merged)
+                    push(active, rank)
+                else:
+                    e[0].extend(waiting)
         out = []
         for i in heads:
             ids = []
@@ -171,7 +187,8 @@ class WordBpe:
                 if not part.isascii():
                     # One character at a time: a final sigma gets no form of its own.
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.pieces.findall(part.lower())
+                low = part.lower()
+                out += (self.pieces if PLAIN.search(low) else self.plain_pieces).findall(low)
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -194,8 +211,10 @@ class WordBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, the tokens one space apart."""
-        token = self.token
-        return " ".join([token[i] for i in ids if i in token])
+        try:
+            return " ".join(map(self.token.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.token[i] for i in ids if i in self.token])
 
 
 _loaded: dict[int, WordBpe] = {}
@@ -265,7 +284,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(spec)
         for b in batches:
-            out = [bpe.decode(x or []) for x in b.column(at).to_pylist()]
+            column = b.column(at)
+            values, starts, sizes = column.values.to_numpy(), column.offsets.to_pylist(), column.value_lengths().to_pylist()
+            out = [bpe.decode(values[i : i + (n or 0)].tolist()) for i, n in zip(starts, sizes, strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
