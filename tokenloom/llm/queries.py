@@ -86,8 +86,8 @@ def op8_sql() -> str:
     return f"""
 WITH w AS (SELECT doc_id, {words} AS ws FROM documents),
 s AS (SELECT *, len(ws) AS n, ' ' || array_to_string(ws, ' ') || ' ' AS spaced FROM w),
-r AS (SELECT doc_id, n, {starts} AS at, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{found}], lambda x: x IS NOT NULL) AS found FROM s)
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(at) AS BIGINT) AS n_base, list_min(at) - 1 AS first_word, list_max(at) - 1 AS last_word,
+r AS (SELECT doc_id, n, {starts} AS spots, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{found}], lambda x: x IS NOT NULL) AS found FROM s)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) - 1 AS first_word, list_max(spots) - 1 AS last_word,
        array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || found)), ',') AS labels,
        CASE WHEN len(found) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM r
