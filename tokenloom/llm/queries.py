@@ -9,13 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license_scan, url_filter
+from . import bpe, chat, license_scan, simhash, url_filter
 from .common import table
 
 # The rules of op5, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no block list, so this stands in for one: the keys whose MD5 begins with 0 or 1."""
     pages = table(spark, sf_dir, "pages")
@@ -99,7 +103,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_urls": op5_urls, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op10_bpe": op10_bpe}
+    return {"op4_simhash": op4_simhash, "op5_urls": op5_urls, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
