@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license_scan, line_dedup, simhash, toxicity, url_filter
+from . import bpe, chat, license_scan, line_dedup, ngram_lm, simhash, toxicity, url_filter
 from .common import table
 
 # The rules of op5, as (verdict, host, path).
@@ -29,6 +29,14 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = ngram_lm.train(docs.where(~held_out))
+    scored = ngram_lm.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -116,7 +124,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op10_bpe": op10_bpe}
+    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
