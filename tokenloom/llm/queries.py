@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, knn, license_scan, line_dedup, ngram_lm, simhash, toxicity, url_filter
+from . import bpe, chat, decontaminate, knn, license_scan, line_dedup, ngram_lm, simhash, toxicity, url_filter
 from .common import table
 
 # The rules of op5, as (verdict, host, path).
@@ -135,12 +135,16 @@ FROM r
 """
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_topk": op6_topk, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op10_bpe": op10_bpe}
+    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_topk": op6_topk, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_leaks": op9_leaks, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
