@@ -198,11 +198,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     ignored; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, shingle))
+    rows = prints.join(_components_of(prints, most, hot), "fp")
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components_of(prints: DataFrame, most: int, hot: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint in ``prints`` (doc_id, fp)."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     ids = nodes.where("rep is not null")
     linked = links(ids.select("fp"), most, hot)
     by = ids.select(F.col("fp").alias("a"), F.col("rep").alias("u"))
     edges = linked.join(by, "a").join(by.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
     roots = components(edges)
-    of = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+
+
+#: Rows whose places are broadcast to drop them, at most (8 bytes each).
+BROADCAST_ROWS = 4_000_000
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, hot: int = HOT) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, and of
+    several with that id the first in the table. Rows whose fingerprint no row with an id has, and no
+    link reaches, are groups by fingerprint. ``docs`` must come in the same order each time, as rows of
+    files do; all columns pass through."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["row", "doc_id", "fp"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = written(numbered.mapInArrow(run, "row long, doc_id long, fp long"))
+    grouped = written(prints.join(_components_of(prints, most, hot), "fp").withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))))
+    first = grouped.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    gone = written(grouped.select("row").join(first, "row", "left_anti")).withColumnRenamed("row", "__row")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(docs.columns)
