@@ -1,15 +1,489 @@
-"""Named queries over the test tables, each with the SQL that must give the same rows."""
+"""Named queries over the test tables, each with the SQL that must give the same rows.
+
+The tables hold no file tree, so documents stand for files: ``files`` gives each a path by its source,
+language and id, with extensions in turn.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import count as counting
+from ..operators import relations as rel
+from ..operators import tokenizers as T
+from ..sources.ignore import IgnoreRules, parse_rules
+from ..streaming import changes
+from . import registry as R
+
+EXTENSIONS = ["ts", "py", "md", "json", "wibble", "rs", "go", "TXT", "yaml", "png", "svg", "tsx", "h", "sh"]
+RATIO = 2.5
+RULES = "doc_1*\n!doc_13*\n/src3/\nfr/\n# nothing\n"
+
+# Inputs
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, size, tokens)"""
+    ext = F.element_at(F.array(*[F.lit(x) for x in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
+    path = F.concat(F.lit("/repo/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    size = F.col("n_chars") * F.when(F.col("doc_id") % 50 == 0, 20_000).otherwise(1)
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), size.alias("size"), C.heuristic_tokens("text", RATIO).alias("tokens"))
+
+
+def _utf16(x: str) -> str:
+    return rf"(length({x}) + length(regexp_replace({x}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+FILES = f"""files AS (
+  SELECT doc_id, '/repo/' || source || '/' || lang || '/doc_' || doc_id || '.' || ([{", ".join(f"'{x}'" for x in EXTENSIONS)}])[doc_id % {len(EXTENSIONS)} + 1] AS path,
+         n_chars * CASE WHEN doc_id % 50 = 0 THEN 20000 ELSE 1 END AS size,
+         CAST(ceil({_utf16("text")} / CAST({RATIO} AS DOUBLE)) AS BIGINT) AS tokens
+  FROM documents)"""
+
+
+def _text(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def _values(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows)
+
+
+MODELS = f"models(model_id, label, provider, kind, encoding, repo, ratio, context_limit, ord) AS ({_values([(m.model_id, m.label, m.provider, m.kind, m.encoding, m.repo, m.ratio, m.context_limit, m.ord) for m in R.MODELS])})"
+ALIASES = f"aliases(alias, model_id) AS ({_values(sorted(R.ALIASES.items()))})"
+LANGUAGES = f"languages(ext, language) AS ({_values(sorted(R.LANGUAGES.items()))})"
+
+_NAME = "list_extract(list_filter(string_split_regex({0}, '[/\\\\]'), lambda x: x <> ''), -1)"
+_EXT = "lower(regexp_extract(coalesce({0}, ''), '^.+\\.([^.]*)$', 1))"
+
+
+def _shown(n: str) -> str:
+    """Short form of a number; printf rounds exact ties to even, so those get one more."""
+    big, small = (f"printf('%.1f', ({n} + CASE WHEN {n} % {d} = {d // 4} THEN 1 ELSE 0 END) / CAST({d} AS DOUBLE)) || '{u}'" for d, u in ((1_000_000, "M"), (1000, "K")))
+    return f"CASE WHEN {n} >= 1000000 THEN {big} WHEN {n} >= 1000 THEN {small} ELSE CAST({n} AS VARCHAR) END"
+
+
+def _slices(groups: str, most: int = R.MAX_SLICES) -> str:
+    """SQL of ranked slices of a query with label, tokens, files."""
+    return f"""
+, g AS ({groups}), total AS (SELECT sum(tokens) AS t FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY tokens DESC, label COLLATE en_US, label) AS n FROM g),
+folded AS (
+  SELECT least(n, {most + 1}) AS rank, CASE WHEN n <= {most} THEN label ELSE 'Other' END AS label, sum(tokens) AS tokens, sum(files) AS files
+  FROM r GROUP BY 1, 2)
+SELECT CAST(rank AS INTEGER) AS rank, label, CAST(tokens AS BIGINT) AS tokens, CAST(files AS BIGINT) AS files, CASE WHEN t > 0 THEN tokens::DOUBLE / t ELSE 0.0 END AS share
+FROM folded, total"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Counting
+
+
+@query(f"SELECT doc_id, CAST(ceil({_utf16('text')} / CAST(3.4 AS DOUBLE)) AS BIGINT) AS count, coalesce(text, '') = '' AS exact FROM documents")
+def heuristic_count(spark, sf_dir):
+    counted = counting.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "claude-opus-4-6", ["doc_id"])
+    return counted.select("doc_id", "count", "exact")
+
+
+@query(f"WITH {MODELS} SELECT model_id, count(*) AS documents, CAST(sum(ceil({_utf16('text')} / CAST(ratio AS DOUBLE))) AS BIGINT) AS tokens FROM documents, models GROUP BY model_id")
+def estimate_all_models(spark, sf_dir):
+    counts = counting.estimate_all(table(spark, sf_dir, "documents"), ["doc_id"])
+    return counts.groupBy("model_id").agg(F.count("*").alias("documents"), F.sum("tokens").cast("bigint").alias("tokens"))
+
+
+@query(f"WITH {FILES} SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total_tokens FROM files")
+def total_tokens(spark, sf_dir):
+    return rel.totals(files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT doc_id % 3 AS run, CAST(sum(tokens) AS BIGINT) AS total_tokens, bool_and(doc_id % 3 = 0 OR tokens > 100) AS exact FROM files GROUP BY 1")
+def run_exactness(spark, sf_dir):
+    rows = files(spark, sf_dir).withColumn("run", F.col("doc_id") % 3).withColumn("exact", (F.col("run") == 0) | (F.col("tokens") > 100))
+    return rows.groupBy("run").agg(F.sum("tokens").cast("bigint").alias("total_tokens"), F.coalesce(F.bool_and("exact"), F.lit(True)).alias("exact"))
+
+
+@query(
+    f"SELECT conv_id, turn, t AS tokens, CAST(sum(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM (SELECT conv_id, turn, CAST(ceil({_utf16('text')} / CAST(2.5 AS DOUBLE)) AS BIGINT) AS t FROM conversations)"
+)
+def conversation_tokens(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.heuristic_tokens("text", RATIO).alias("tokens"))
+    return rel.running_total(turns, ["turn"], ["conv_id"])
+
+
+@query(f"WITH {FILES} SELECT doc_id, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM files")
+def running_total(spark, sf_dir):
+    return rel.running_total(files(spark, sf_dir).select("doc_id", "tokens"), ["doc_id"])
+
+
+@query("SELECT doc_id, CAST(strlen(text) - (length(text) - length(replace(text, 'lo', ''))) // 2 - (length(text) - length(replace(text, 'He', ''))) // 2 AS BIGINT) AS count FROM documents")
+def bpe_count(spark, sf_dir):
+    return T.count_exact(table(spark, sf_dir, "documents").select("doc_id", "text"), T.RankVocabulary(T.synthetic_ranks()), ["doc_id"])
+
+
+@query()
+def pretokenize(spark, sf_dir):
+    pieces = table(spark, sf_dir, "documents").select("doc_id", "text", T.pretokenize("text").alias("pieces"))
+    return pieces.select("doc_id", F.size("pieces").alias("n_pieces"), (F.array_join("pieces", "") == F.col("text")).alias("covers_text"))
+
+
+def _rank_lines() -> list[str]:
+    import base64
+
+    lines = [f"{base64.b64encode(token).decode()} {rank}" for token, rank in T.synthetic_ranks().items() if rank != 77]
+    return [*lines, "", "no rank here", "IQ== -3", "IQ== x"]
+
+
+@query(
+    f"SELECT count(*) AS entries, count(DISTINCT rank) AS distinct_ranks, max(rank) + 1 AS expected_ranks, max(rank) + 1 - count(DISTINCT rank) AS missing FROM (SELECT CAST(regexp_extract(line, '^[A-Za-z0-9+/=]+ ([0-9]+)$', 1) AS BIGINT) AS rank FROM ({_values([(x,) for x in _rank_lines()])}) AS v(line) WHERE regexp_matches(line, '^[A-Za-z0-9+/=]+ [0-9]+$'))"
+)
+def rank_table_density(spark, sf_dir):
+    return T.rank_density(T.parse_rank_lines(spark.createDataFrame([(x,) for x in _rank_lines()], "value string")))
+
+
+# Breakdowns
+
+
+@query(f"WITH {FILES}" + _slices("SELECT split_part(path, '/', 3) AS label, sum(tokens) AS tokens, count(*) AS files FROM files GROUP BY 1"))
+def by_folder(spark, sf_dir):
+    return rel.by_folder(files(spark, sf_dir))
+
+
+_LANGUAGE = "coalesce(language, CASE WHEN e <> '' THEN '.' || e WHEN starts_with(name, '.') THEN name ELSE 'No extension' END)"
+
+
+@query(f"WITH {FILES}, {LANGUAGES}" + _slices(f"SELECT {_LANGUAGE} AS label, sum(tokens) AS tokens, count(*) AS files FROM (SELECT *, {_NAME.format('path')} AS name, {_EXT.format(_NAME.format('path'))} AS e FROM files) LEFT JOIN languages ON ext = e GROUP BY 1"))
+def by_language(spark, sf_dir):
+    return rel.by_language(files(spark, sf_dir))
+
+
+@query(
+    f"WITH {LANGUAGES} SELECT page_id, {_LANGUAGE} AS language FROM (SELECT page_id, coalesce({_NAME.format('url')}, '') AS name, {_EXT.format(_NAME.format('url'))} AS e FROM pages) LEFT JOIN languages ON ext = e"
+)
+def language_of(spark, sf_dir):
+    return rel.with_language(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "language")
+
+
+def _root_sql(source: str) -> str:
+    return f"""
+dirs AS (SELECT CASE WHEN len(p) > 1 THEN p[1:len(p) - 1] ELSE [] END AS d FROM (SELECT list_filter(string_split_regex(path, '[/\\\\]'), lambda x: x <> '') AS p FROM {source})),
+depths AS (SELECT unnest(range(1, (SELECT coalesce(min(len(d)), 0) FROM dirs) + 1)) AS k),
+same AS (SELECT k FROM depths, dirs GROUP BY k HAVING count(DISTINCT d[1:k]) = 1),
+root AS (SELECT any_value(d)[1:(SELECT coalesce(max(k), 0) FROM same)] AS root FROM dirs)"""
+
+
+@query(f"WITH {FILES}, {_root_sql('files')} SELECT array_to_string(root, '/') AS root FROM root")
+def common_root(spark, sf_dir):
+    return rel.common_root(files(spark, sf_dir)).select(F.array_join("root", "/").alias("root"))
+
+
+@query(
+    f"WITH {FILES}, chosen AS (SELECT path FROM files WHERE starts_with(path, '/repo/src1')), {_root_sql('chosen')} "
+    "SELECT path, CASE WHEN p[1:len(root)] = root THEN array_to_string(p[len(root) + 1:], '/') ELSE array_to_string(p, '/') END AS display FROM (SELECT path, list_filter(string_split_regex(path, '[/\\\\]'), lambda x: x <> '') AS p FROM files), root"
+)
+def display_path(spark, sf_dir):
+    all_files = files(spark, sf_dir)
+    root = F.broadcast(rel.common_root(all_files.where(F.startswith("path", F.lit("/repo/src1")))))
+    return all_files.crossJoin(root).select("path", C.display_path("path", "root").alias("display"))
+
+
+@query(f"WITH {FILES}, every AS (SELECT path FROM files UNION ALL SELECT url FROM pages), {_root_sql('every')} SELECT array_to_string(root, '/') AS root FROM root")
+def display_root(spark, sf_dir):
+    return rel.display_root(files(spark, sf_dir), table(spark, sf_dir, "pages").select(F.col("url").alias("path"))).select(F.array_join("root", "/").alias("root"))
+
+
+@query(f"WITH {FILES} SELECT path, tokens FROM files ORDER BY tokens DESC, path COLLATE en_US, path LIMIT 100")
+def largest_files(spark, sf_dir):
+    return rel.largest_first(files(spark, sf_dir).select("path", "tokens")).limit(100)
+
+
+@query(f"WITH {FILES}, n AS (SELECT count(*) AS n FROM files) SELECT path, tokens, greatest(0, n - 1000) AS not_listed FROM files, n ORDER BY tokens DESC, path COLLATE en_US, path LIMIT 1000")
+def listing_cap(spark, sf_dir):
+    rows = files(spark, sf_dir).select("path", "tokens")
+    hidden = rows.agg(F.greatest(F.lit(0), F.count("*") - R.MAX_LISTED).alias("not_listed"))
+    return rel.largest_first(rows).limit(R.MAX_LISTED).crossJoin(F.broadcast(hidden))
+
+
+@query(f"WITH {FILES} SELECT substr(path, 7) AS display, tokens FROM files WHERE contains(lower(substr(path, 7)), 'src1/en/doc_2')")
+def filter_listing(spark, sf_dir):
+    rows = files(spark, sf_dir).select("path", F.substring("path", 7, 10_000).alias("display"), "tokens")
+    return rel.listing(rows, term="  SRC1/en/Doc_2 ", most=None).select("display", "tokens")
+
+
+# Limits and numbers
+
+
+def _folder_models(spark, sf_dir):
+    """Tokens of each source, against every model's limit and no limit."""
+    limits = F.array(*[F.struct(F.lit(m.model_id).alias("model_id"), F.lit(m.context_limit).cast("bigint").alias("context_limit")) for m in R.MODELS], F.struct(F.lit("none").alias("model_id"), F.lit(None).cast("bigint").alias("context_limit")))
+    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(C.heuristic_tokens("text", RATIO)).cast("bigint").alias("tokens"))
+    return sums.select("source", "tokens", F.explode(limits).alias("m")).select("source", "tokens", "m.model_id", "m.context_limit")
+
+
+_FOLDER_MODELS = f"{MODELS}, fm AS (SELECT source, tokens, model_id, context_limit FROM (SELECT source, CAST(sum(ceil({_utf16('text')} / CAST(2.5 AS DOUBLE))) AS BIGINT) AS tokens FROM documents GROUP BY source), (SELECT model_id, context_limit FROM models UNION ALL SELECT 'none', NULL))"
+_PERCENT = "CASE WHEN coalesce(context_limit, 0) <> 0 THEN tokens / context_limit::DOUBLE * 100 ELSE 0.0 END"
+_STATUS = f"CASE WHEN {_PERCENT} >= 100 THEN 'error' WHEN {_PERCENT} >= 80 THEN 'warning' ELSE 'ok' END"
+
+
+@query(f"WITH {_FOLDER_MODELS} SELECT source, model_id, {_PERCENT} AS percentage, {_STATUS} AS status FROM fm")
+def context_status(spark, sf_dir):
+    return _folder_models(spark, sf_dir).select("source", "model_id", C.percentage("tokens", "context_limit").alias("percentage"), C.status("tokens", "context_limit").alias("status"))
+
+
+@query(
+    f"WITH {_FOLDER_MODELS}, s AS (SELECT *, tokens / context_limit::DOUBLE AS share FROM fm WHERE context_limit IS NOT NULL) SELECT source, model_id, "
+    f"CASE WHEN share >= 0.1 THEN CAST(CAST(floor(share * 100) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', floor(share * 1000) / 10) END AS percent, printf('%.2f', least(share, 1.0) * 100) AS fill, "
+    f"CASE WHEN {_STATUS} = 'error' THEN 'Over the ' || l || ' token limit' WHEN {_STATUS} = 'warning' THEN 'Approaching the ' || l || ' token limit' ELSE 'of ' || l || ' tokens' END AS caption FROM (SELECT *, {_shown('context_limit')} AS l FROM s)"
+)
+def context_meter(spark, sf_dir):
+    rows = _folder_models(spark, sf_dir).where("context_limit is not null")
+    return rows.select("source", "model_id", C.meter_percent("tokens", "context_limit").alias("percent"), C.meter_fill("tokens", "context_limit").alias("fill"), C.meter_caption("tokens", "context_limit").alias("caption"))
+
+
+@query(f"WITH {FILES}, n AS (SELECT doc_id, unnest([tokens, doc_id * 50, doc_id * 1250, tokens * 5000]) AS n FROM files) SELECT doc_id, n, {_shown('n')} AS shown FROM n")
+def format_number(spark, sf_dir):
+    d = F.col("doc_id")
+    return files(spark, sf_dir).select("doc_id", F.explode(F.array("tokens", d * 50, d * 1250, F.col("tokens") * 5000)).alias("n")).select("doc_id", "n", C.format_number("n").alias("shown"))
+
+
+# Classification
+
+
+def _classified(spark, sf_dir):
+    ignored = IgnoreRules(parse_rules(RULES)).column(F.substring("path", 7, 10_000))
+    return rel.classify(files(spark, sf_dir), ignored=ignored)
+
+
+_SKIP = f"""CASE WHEN {_EXT.format(_NAME.format("path"))} IN ({", ".join(f"'{x}'" for x in R.BINARY_EXTENSIONS)}) THEN 'binary'
+  WHEN size > 10485760 THEN 'too-large'
+  WHEN split_part(path, '/', 3) = 'src3' OR split_part(path, '/', 4) = 'fr' OR (starts_with(split_part(path, '/', 5), 'doc_1') AND NOT starts_with(split_part(path, '/', 5), 'doc_13')) THEN 'gitignored' END"""
+
+
+@query(f"WITH {FILES} SELECT path, {_SKIP} AS skip FROM files")
+def classify_files(spark, sf_dir):
+    return _classified(spark, sf_dir).select("path", "skip")
+
+
+@query(
+    f"WITH {FILES} SELECT count(*) FILTER (skip IS NULL) AS files_counted, count(*) FILTER (skip IS NOT NULL AND skip <> 'gitignored') AS files_skipped, count(*) FILTER (skip = 'gitignored') AS files_ignored FROM (SELECT {_SKIP} AS skip FROM files)"
+)
+def outcome_counts(spark, sf_dir):
+    return rel.outcome_counts(_classified(spark, sf_dir))
+
+
+@query(
+    f"WITH {FILES} SELECT reason, count(*) AS files FROM (SELECT CASE {_SKIP} WHEN 'binary' THEN 'Binary or unsupported file type' WHEN 'too-large' THEN 'Larger than 10 MB' WHEN 'gitignored' THEN 'Excluded by .gitignore' END AS reason FROM files) WHERE reason IS NOT NULL GROUP BY reason"
+)
+def skip_reasons(spark, sf_dir):
+    return _classified(spark, sf_dir).where("skip is not null").groupBy(C.skip_text("skip").alias("reason")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AND doc_id * 37 % 9000 < 8192 AS is_binary FROM documents")
+def sniff_binary(spark, sf_dir):
+    lead = F.repeat(F.lit("x"), (F.col("doc_id") * 37 % 9000).cast("int")).cast("binary")
+    zero = F.when(F.col("doc_id") % 3 == 0, F.lit(b"\0")).otherwise(F.lit(b"."))
+    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, zero, F.col("text").cast("binary")).alias("content"))
+    return made.select("doc_id", C.looks_binary("content").alias("is_binary"))
+
+
+# Models
+
+_ASKED = [*R.BY_ID, *R.ALIASES, "nope", ""]
+_CHOICES = [("gpt-4", "o3"), (None, "o3-mini"), ("nope", "grok-3"), (None, None), ("kimi-k3", None), ("nope", "nope"), ("qwen3", "o3")]
+
+
+@query(f"WITH {MODELS} SELECT asked, label, provider, context_limit FROM ({_values([(x,) for x in _ASKED])}) AS a(asked) JOIN models ON asked = model_id")
+def model_lookup(spark, sf_dir):
+    asked = spark.createDataFrame([(x,) for x in _ASKED], "asked string")
+    return asked.join(F.broadcast(R.models(spark)), F.col("asked") == F.col("model_id")).select("asked", "label", "provider", "context_limit")
+
+
+_RESOLVE = "coalesce((SELECT model_id FROM models WHERE model_id = {0}), (SELECT a.model_id FROM aliases a WHERE a.alias = {0}))"
+
+
+@query(f"WITH {MODELS}, {ALIASES} SELECT asked, {_RESOLVE.format('asked')} AS resolved_id FROM ({_values([(x,) for x in _ASKED])}) AS q(asked)")
+def resolve_model(spark, sf_dir):
+    return rel.resolve(spark.createDataFrame([(x,) for x in _ASKED], "asked string"), R.models(spark), R.aliases(spark), "asked")
+
+
+@query(
+    f"WITH {MODELS}, {ALIASES}, q AS (SELECT saved, configured, {_RESOLVE.format('saved')} AS s, {_RESOLVE.format('configured')} AS c FROM ({_values(_CHOICES)}) AS q(saved, configured)) "
+    "SELECT saved, configured, coalesce(s, c, (SELECT model_id FROM models WHERE ord = 0)) AS model_id, CASE WHEN s <> saved THEN s END AS migrate_to FROM q"
+)
+def initial_model(spark, sf_dir):
+    return rel.initial_models(spark.createDataFrame(_CHOICES, "saved string, configured string"), R.models(spark), R.aliases(spark))
+
+
+@query(f"WITH {MODELS} SELECT model_id, repo FROM models WHERE kind IN ('hf', 'tiktokenModel')")
+def downloadable_models(spark, sf_dir):
+    return R.models(spark).where(C.is_downloadable("encoder.kind")).select("model_id", F.col("encoder.repo").alias("repo"))
+
+
+@query(f"WITH {MODELS} SELECT model_id, CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated' ELSE 'after-download' END AS accuracy, false AS exact_now FROM models")
+def model_exactness(spark, sf_dir):
+    exact = [(m.model_id, counting.is_exact(m, None)) for m in R.MODELS]
+    flags = spark.createDataFrame(exact, "model_id string, exact_now boolean")
+    return R.models(spark).join(F.broadcast(flags), "model_id").select("model_id", C.accuracy("encoder.kind").alias("accuracy"), "exact_now")
+
+
+@query(f"WITH {MODELS} SELECT repo, count(*) AS models, string_agg(model_id, ',' ORDER BY model_id) AS model_ids FROM models WHERE repo IS NOT NULL GROUP BY repo")
+def vocab_sharing(spark, sf_dir):
+    return rel.vocabulary_sharing(R.models(spark)).select("repo", "models", F.array_join("model_ids", ",").alias("model_ids"))
+
+
+@query(f"WITH {MODELS} SELECT provider, min(ord) AS first_ord, count(*) AS models FROM models GROUP BY provider")
+def providers(spark, sf_dir):
+    return rel.providers(R.models(spark))
+
+
+_LIMIT = "CASE WHEN context_limit >= 10000000 THEN CAST(CAST(round(context_limit / 1000000.0) AS BIGINT) AS VARCHAR) || 'M' WHEN context_limit >= 1000000 THEN replace(printf('%.1f', context_limit / CAST(1000000 AS DOUBLE)), '.0', '') || 'M' ELSE CAST(CAST(round(context_limit / 1000.0) AS BIGINT) AS VARCHAR) || 'K' END"
+
+
+@query(
+    f"WITH {MODELS} SELECT ord, model_id, label, provider || ' · ' || {_LIMIT} || ' context · ' || CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated — no public tokenizer' ELSE 'exact once the tokenizer is downloaded' END AS description FROM models"
+)
+def model_catalog(spark, sf_dir):
+    return rel.catalog(R.models(spark))
+
+
+@query(
+    f"WITH {MODELS}, m AS (SELECT *, lag(provider) OVER (ORDER BY ord) AS before FROM models) SELECT ord, 0 AS line, provider AS label, NULL AS model_id, NULL AS detail FROM m WHERE before IS DISTINCT FROM provider UNION ALL "
+    f"SELECT ord, 1, CASE WHEN model_id = 'o3' THEN '* ' ELSE '' END || label, model_id, {_shown('context_limit')} || ' token context · ' || CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated' ELSE 'exact once downloaded' END FROM m"
+)
+def model_picker(spark, sf_dir):
+    return rel.picker(R.models(spark), "o3")
+
+
+@query(f"WITH {MODELS}, {ALIASES} SELECT 'alias of no live model' AS rule, alias AS subject FROM aliases WHERE model_id NOT IN (SELECT model_id FROM models) UNION ALL SELECT 'alias hides a live model', alias FROM aliases WHERE alias IN (SELECT model_id FROM models)")
+def registry_violations(spark, sf_dir):
+    return rel.registry_violations(R.models(spark), R.aliases(spark))
+
+
+# Selections
+
+
+@query(
+    f"WITH {FILES}, s AS (SELECT DISTINCT path FROM (SELECT path FROM files UNION ALL SELECT '/repo/src1' UNION ALL SELECT '/repo/src2/en' UNION ALL SELECT path FROM files WHERE doc_id % 5 = 0)) "
+    "SELECT path FROM s WHERE NOT (starts_with(path, '/repo/src1/') OR starts_with(path, '/repo/src2/en/'))"
+)
+def dedupe_selection(spark, sf_dir):
+    paths = files(spark, sf_dir).select("doc_id", "path")
+    more = spark.createDataFrame([("/repo/src1",), ("/repo/src2/en",)], "path string")
+    return rel.dedupe_selection(paths.select("path").unionByName(more).unionByName(paths.where("doc_id % 5 = 0").select("path")))
+
+
+_ROOTS = ["/repo/src1", "/repo/src1/en", "/repo/src2/de", "/elsewhere"]
+
+
+@query(f"WITH {FILES} SELECT path, (SELECT max_by(root, length(root)) FROM ({_values([(x,) for x in _ROOTS])}) AS r(root) WHERE starts_with(path, root || '/')) AS root FROM files")
+def owning_root(spark, sf_dir):
+    roots = spark.createDataFrame([(x,) for x in _ROOTS], "root string")
+    return rel.owning_root(files(spark, sf_dir).select("path"), roots).select("path", "root")
+
+
+# The count cache
+
+
+def _work_and_cache(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    work = rows.select(F.lit("gpt-5").alias("model_id"), "path", (F.col("doc_id") * 10).alias("mtime"))
+    cache = rows.where("doc_id % 3 = 0").select(
+        F.when(F.col("doc_id") % 7 == 0, "o3").otherwise("gpt-5").alias("model_id"), "path", (F.col("doc_id") * 10 + F.col("doc_id") % 2).alias("mtime"), F.col("tokens").alias("count"), (F.col("doc_id") % 2 == 0).alias("exact")
+    )
+    return work, cache
+
+
+_WORK = f"{FILES}, work AS (SELECT 'gpt-5' AS model_id, path, doc_id * 10 AS mtime FROM files), cache AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'o3' ELSE 'gpt-5' END AS model_id, path, doc_id * 10 + doc_id % 2 AS mtime, tokens AS count, doc_id % 2 = 0 AS exact FROM files WHERE doc_id % 3 = 0)"
+
+
+@query(f"WITH {_WORK} SELECT model_id, path, mtime, count, exact FROM work JOIN cache USING (model_id, path, mtime)")
+def cache_hits(spark, sf_dir):
+    return rel.cache_hits(*_work_and_cache(spark, sf_dir))
+
+
+@query(f"WITH {_WORK} SELECT * FROM work ANTI JOIN cache USING (model_id, path, mtime)")
+def cache_misses(spark, sf_dir):
+    return rel.cache_misses(*_work_and_cache(spark, sf_dir))
+
+
+@query(f"WITH {_WORK} SELECT * FROM cache WHERE path NOT IN (SELECT path FROM files WHERE doc_id % 2 = 1)")
+def cache_invalidation(spark, sf_dir):
+    return rel.cache_without(_work_and_cache(spark, sf_dir)[1], files(spark, sf_dir).where("doc_id % 2 = 1"))
+
+
+# Exports and streams
+
+_CELL = "'\"' || replace(CASE WHEN regexp_matches({0}, '^[=+\\-@]') THEN '''' || {0} ELSE {0} END, '\"', '\"\"') || '\"'"
+_ODD = "CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@\"' WHEN 2 THEN chr(9) ELSE '' END || path"
+
+
+@query(f"WITH {FILES}, c AS (SELECT tokens, regexp_replace({_ODD}, '[\\t\\r\\n]+', ' ', 'g') AS cell FROM files) SELECT {_CELL.format('cell')} || ',\"' || tokens || '\"' AS line FROM c")
+def export_csv_lines(spark, sf_dir):
+    d = F.col("doc_id") % 5
+    odd = F.concat(F.when(d == 0, "=").when(d == 1, '@"').when(d == 2, "\t").otherwise(""), F.col("path"))
+    return files(spark, sf_dir).select(C.csv_line(odd, F.col("tokens").cast("string")).alias("line"))
+
+
+@query(f"WITH {FILES} SELECT regexp_replace({_ODD}, '[\\t\\r\\n]+', ' ', 'g') || chr(9) || tokens AS line FROM files")
+def export_tsv_lines(spark, sf_dir):
+    d = F.col("doc_id") % 5
+    odd = F.concat(F.when(d == 0, "=").when(d == 1, '@"').when(d == 2, "\t").otherwise(""), F.col("path"))
+    return files(spark, sf_dir).select(C.tsv_line(odd, F.col("tokens").cast("string")).alias("line"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages")
+def escape_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(C.escape_html("html")).alias("escaped_md5"))
+
+
+@query(
+    f"WITH {FILES}, {MODELS} SELECT path, regexp_replace(path, '^.*/', '') || ': ≈' || {_shown('tokens')} || ' tokens (Claude Opus 5)' AS notification, "
+    f"CASE WHEN tokens / 1000000.0::DOUBLE * 100 >= 100 THEN '[over]' WHEN tokens / 1000000.0::DOUBLE * 100 >= 80 THEN '[near]' ELSE '[ok]' END || ' ≈' || {_shown('tokens')} || ' tokens' AS status FROM files"
+)
+def status_lines(spark, sf_dir):
+    m = R.BY_ID["claude-opus-5"]
+    return files(spark, sf_dir).select(
+        "path",
+        C.notification(C.file_name("path"), "tokens", F.lit(False), F.lit(m.label)).alias("notification"),
+        C.status_text("tokens", F.lit(False), F.lit(m.context_limit)).alias("status"),
+    )
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) "
+    "SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS fires_us, count(*) AS events FROM s GROUP BY user_id, n"
+)
+def debounce_sessions(spark, sf_dir):
+    bursts = changes.debounce(table(spark, sf_dir, "events"), ["user_id"], "30 minutes")
+    return bursts.select("user_id", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("fires_at").cast("timestamp")).alias("fires_us"), "events")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
