@@ -1,0 +1,141 @@
+import os
+
+import pytest
+
+from tokenloom.config import EngineConfig
+from tokenloom.plans import pipeline, report
+from tokenloom.plans import registry as R
+from tokenloom.sources import discover as D
+from tokenloom.sources.ignore import IgnoreRules, parse_rules
+from tokenloom.streaming import changes
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "work"
+    for name, body in {"README.md": "read me\n", ".gitignore": "*.tmp\nvendor/\n", "scratch.tmp": "x", "src/a.txt": "hello world\n", "src/b.ts": "const x = 42;\n", "src/_x": "y", "src/empty": "", "vendor/v.js": "1", "node_modules/m.js": "1", "nul.bin2": "a\0b", "pic.png": "p"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    return root
+
+
+@pytest.mark.parametrize(
+    ("rules", "path", "ignored"),
+    [
+        ("*.log", "a/app.log", True), ("build/", "build/x.ts", True), ("build/", "src/build", False), ("*", "x", True),
+        ("*.log\n!keep.log", "keep.log", False), ("logs/\n!logs/keep.log", "logs/keep.log", True), ("/top", "a/top", False), ("/top", "top", True),
+        ("a/**/b", "a/x/y/b", True), ("a/**/b", "a/b", True), ("**/foo", "x/foo", True), ("foo/**", "foo/a/b", True), ("d?c", "dxc", True), ("[ab].c", "b.c", True),
+        ("[!ab].c", "b.c", False), ("# no", "# no", False), ("\\#yes", "#yes", True), ("x  ", "x", True), ("*.log", "../a.log", False), ("*", "", False), ("doc/*.txt", "doc/a/b.txt", False),
+    ],
+)
+def test_rules(spark, rules, path, ignored):
+    r = IgnoreRules(parse_rules(rules))
+    assert r.is_ignored(path) is ignored
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(r.column(df.p)).first()[0] is ignored
+
+
+def names(rows, outcome="file"):
+    return sorted(r[1] for r in rows if r[4] == outcome)
+
+
+def test_walking(tree):
+    found = list(D.walk(str(tree), IgnoreRules.of_root(str(tree))))
+    assert names(found) == sorted([".gitignore", "README.md", "nul.bin2", "pic.png", "scratch.tmp", "src/_x", "src/a.txt", "src/b.ts", "src/empty"])
+    assert names(found, "ignored-directory") == ["vendor"]
+
+
+def test_links(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.txt").write_text("x")
+    (tmp_path / "a/y.txt").symlink_to(tmp_path / "a/x.txt")
+    (tmp_path / "a/up").symlink_to(tmp_path)
+    (tmp_path / "b").symlink_to(tmp_path / "a")
+    (tmp_path / "a/gone").symlink_to(tmp_path / "nowhere")
+    found = list(D.walk(str(tmp_path)))
+    assert names(found) == ["a/x.txt", "a/y.txt"] and names(found, "unreadable") == ["a/gone"]
+
+
+def test_excludes(spark):
+    df = spark.createDataFrame([("/r/node_modules/a",), ("/r/node_modules",), ("/r/x/dist/y/z",)], "path string")
+    assert [r[0] for r in df.select(D.in_never_walked("path")).collect()] == [True, False, True]
+    assert D.exclude_glob(("a", "b")) == "{**/a/**,**/b/**}"
+
+
+def test_data_source(spark, tree):
+    spark.dataSource.register(D.WalkSource)
+    assert spark.read.format("tree").load(str(tree)).where("outcome = 'file'").count() == 9
+
+
+def test_counting_a_tree(spark, tree):
+    model = R.BY_ID["claude-opus-5"]
+    rows = pipeline.count_selection(spark, [str(tree), str(tree / "src")], model)
+    out = {os.path.relpath(r.path, tree): (r.tokens, r.exact, r.skip) for r in rows.collect()}
+    assert out == {
+        ".gitignore": (6, False, None), "README.md": (4, False, None), "src/_x": (1, False, None), "src/a.txt": (5, False, None), "src/b.ts": (6, False, None), "src/empty": (0, True, None),
+        "nul.bin2": (None, None, "binary"), "pic.png": (None, None, "binary"), "scratch.tmp": (None, None, "gitignored"), "vendor": (None, None, "gitignored"),
+    }
+    total = pipeline.project_total(spark, [str(tree)], model=model).first()
+    assert total == (22, False)
+    assert pipeline.project_total(spark, [str(tree)], config=EngineConfig(enable_project_scan=False)).count() == 0
+
+
+def test_cache_and_buffers(spark, tree):
+    from pyspark.sql import functions as F
+
+    model = R.BY_ID["claude-opus-5"]
+    first = pipeline.count_selection(spark, [str(tree)], model)
+    cache = pipeline.cacheable(first, model).withColumn("count", F.col("count") + 100)
+    buffers = spark.createDataFrame([(str(tree / "src/a.txt"), "abcde")], "path string, text string")
+    again = {os.path.relpath(r.path, tree): r.tokens for r in pipeline.count_selection(spark, [str(tree)], model, cache=cache, buffers=buffers).where("skip is null").collect()}
+    assert again["README.md"] == 104 and again["src/a.txt"] == 2
+
+
+def test_one_chosen_file_is_counted_though_ignored(spark, tree):
+    out = pipeline.count_selection(spark, [str(tree / "scratch.tmp")], "o3").collect()
+    assert [(r.tokens, r.skip) for r in out] == [(1, None)]
+
+
+def test_report(spark, tree):
+    model = R.BY_ID["claude-opus-5"]
+    rows = pipeline.count_selection(spark, [str(tree)], model)
+    view = report.summarize(rows, model)
+    assert (view["total_tokens"], view["exact"], view["files_counted"], view["files_skipped"], view["files_ignored"]) == (22, False, 6, 2, 2)
+    assert view["files"][0]["display"] in (".gitignore", "src/b.ts") and view["files_not_listed"] == 0
+    page = report.render(view | {"model_label": "<b>"}, nonce="n")
+    assert "&lt;b&gt;" in page and "<b></b>" not in page and "script-src 'nonce-n'" in page and "≈22 tokens" in page
+    assert "has no published context limit" in report.render(view | {"context_limit": None})
+    listing = spark.createDataFrame([("b\tc", 5), ("=a", 3)], "display string, tokens bigint")
+    assert [r.line for r in report.csv_lines(listing).collect()] == ['"b c","5"', '"\'=a","3"']
+    assert report.tsv_text(listing) == "b c\t5\n=a\t3"
+    report.write_csv(listing, str(tree / "out"))
+    assert [r.value for r in spark.read.text(str(tree / "out")).collect()] == ['"path","tokens"', '"b c","5"', '"\'=a","3"']
+
+
+def test_settings(spark):
+    assert EngineConfig().shown(True, True) == (True, True)
+    assert EngineConfig(status_display="project").shown(True, True) == (False, True)
+    assert EngineConfig(status_display="project", enable_project_scan=False).shown(True, True) == (True, False)
+    assert EngineConfig(status_display="file").shown(False, True) == (False, False)
+    spark.conf.set("spark.tokenloom.enable_project_scan", "false")
+    assert EngineConfig.from_session(spark).enable_project_scan is False
+    spark.conf.unset("spark.tokenloom.enable_project_scan")
+
+
+def test_bursts(spark):
+    rows = [(1, f"2024-01-01 00:00:{s:06.3f}") for s in (0, 1.5, 3.5, 5.501, 20)]
+    df = spark.createDataFrame(rows, "user int, t string").selectExpr("user", "cast(t as timestamp) as ts")
+    assert sorted(r.events for r in changes.debounce(df, ["user"]).collect()) == [1, 1, 3]
+
+
+def test_changes_keep_the_cache_up(spark, tmp_path):
+    cache = changes.CountCache(spark, str(tmp_path / "cache"))
+    assert cache.put(spark.createDataFrame([("m", "/a", 1, 5, True), ("m", "/b", 1, 6, True), ("n", "/a", 1, 7, True)], changes.CACHE), 0)
+    assert not cache.put(spark.createDataFrame([], changes.CACHE), 0)  # an old version changes nothing
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "1.json").write_text('{"ts":"2024-01-01T00:00:00Z","path":"/a","op":"save"}\n{"ts":"2024-01-01T00:00:01Z","path":"/c","op":"create"}\n')
+    changes.keep_up(changes.read_changes(spark, str(feed)), cache, str(tmp_path / "cp")).awaitTermination()
+    assert [(r.model_id, r.path) for r in cache.read().collect()] == [("m", "/b")]
+    cache.clear(99)
+    assert cache.read().count() == 0

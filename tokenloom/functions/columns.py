@@ -39,7 +39,7 @@ def to_fixed(x, digits: int) -> Column:
         top = whole * F.lit(2 * 10**digits).cast("decimal(6,0)") + F.lit(1 << bits).cast("decimal(20,0)")
         return F.call_function("div", top, F.lit(2 << bits).cast("decimal(20,0)"))
 
-    n = F.when(x < 4, exact(60)).when(x < 1024, exact(52)).when(x < float(1 << 30), exact(32)).otherwise(exact(10))
+    n = F.when(x < 4, exact(60)).when(x < 1024, exact(52)).when(x < float(1 << 30), exact(32)).when(x < float(1 << 41), exact(22)).otherwise(exact(10))
     if digits == 0:
         return n.cast("string")
     unit = 10**digits
