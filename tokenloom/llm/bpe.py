@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import released, small_batches
 
 # Unicode's White_Space characters, as the tokenizer's pattern means them.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -43,7 +43,7 @@ SHIFT = 20
 #: A vocabulary file beyond this is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words whose tokens a worker keeps; then it begins anew.
-MAX_KEPT_WORDS = 600_000
+MAX_KEPT_WORDS = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -90,7 +90,7 @@ class WordBpe:
         self.last = [self.vocab.get(c + self.suffix) for c in chars]
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.byte_of = {c: b for b, c in enumerate(chars)}
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word, by the pair occurrence index over all of them."""
@@ -197,7 +197,7 @@ class WordBpe:
         kept = self.kept
         split = [self.split(t) for t in texts]
         new = list(dict.fromkeys(w for s in split for w in s if w not in kept and isinstance(w, str)))
-        kept.update(zip(new, self.merge_words(new), strict=True))
+        kept.update(zip(new, map(tuple, self.merge_words(new)), strict=True))
         out = []
         for s in split:
             ids: list[int] = []
@@ -270,7 +270,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             out = bpe.encode([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -289,7 +289,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             out = [bpe.decode(values[i : i + (n or 0)].tolist()) for i, n in zip(starts, sizes, strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

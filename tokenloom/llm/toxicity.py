@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, released, small_batches
 
 #: Labelled rows in the fit, at most.
 SAMPLE_ROWS = 24_000
@@ -33,7 +34,7 @@ LEAST_TEXTS = 6
 #: Sentences that name a group, in the fit, at most.
 MAX_SWAPS = 20_000
 #: Counted features a task holds before it hands them on.
-FLUSH = 400_000
+FLUSH = 250_000
 THRESHOLD = 0.3
 
 # Names of groups, by what may stand in another's place.
@@ -88,7 +89,7 @@ class Model:
         for w in set(_WORDS.findall((text or "").lower())):
             x = of_word.get(w)
             if x is None:
-                if len(of_word) > 500_000:
+                if len(of_word) > 200_000:
                     of_word.clear()
                 x = of_word[w] = {f: self.weights[f] for f in features_of(w) if f in self.weights} or _NONE
             if x is not _NONE:
@@ -131,7 +132,7 @@ def _count_features(rows: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return rows.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.mapInArrow(released(run), "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _choose(counts: DataFrame, n0: int, n1: int) -> list[str]:
@@ -155,23 +156,27 @@ def _vectors(rows: DataFrame, at: dict[str, int]) -> tuple[list[np.ndarray], np.
             return sorted(index[f] for f in text_features(text) if f in index)
 
         for b in batches:
-            kind, one, two, labels = [], [], [], []
+            kind, one, two, labels, order = [], [], [], [], []
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, (x, y) in enumerate([(text, None), *swaps(text)]):
                     u, v = vector(x), vector(y) if y is not None else []
                     if k == 0 or u != v:
-                        kind.append(min(k, 1)), one.append(u), two.append(v), labels.append(label)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int32()), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32())), pa.array(labels, pa.int32())], names=["kind", "one", "two", "label"]
-            )
+                        kind.append(min(k, 1)), one.append(u), two.append(v), labels.append(label), order.append(xxhash.xxh64_intdigest(x.encode()) >> 1)
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (one, two)]
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *lists, pa.array(labels, pa.int32()), pa.array(order, pa.int64())], names=["kind", "one", "two", "label", "at"])
 
-    out = rows.mapInArrow(run, "kind int, one array<int>, two array<int>, label int")
-    texts = out.where("kind = 0").select("one", "label").toArrow()
-    changed = out.where("kind = 1").orderBy(F.xxhash64("one", "two")).limit(MAX_SWAPS).select("one", "two").toArrow()
-    arrays = lambda c: [np.asarray(x, dtype=np.int64) for x in c.to_pylist()]
-    order = sorted(range(len(texts)), key=lambda i: (texts["label"][i].as_py(), texts["one"][i].as_py()))
-    one = arrays(texts["one"])
-    return [one[i] for i in order], texts["label"].to_numpy()[order].astype(float), list(zip(arrays(changed["one"]), arrays(changed["two"]), strict=True))
+    out = rows.mapInArrow(released(run), "kind int, one array<int>, two array<int>, label int, at long")
+    texts = out.where("kind = 0").select("one", "label", "at").toArrow().combine_chunks()
+    changed = out.where("kind = 1").orderBy(F.xxhash64("one", "two")).limit(MAX_SWAPS).select("one", "two").toArrow().combine_chunks()
+    # In an order of the texts' own, so that a fit gives the same weights each time.
+    order = np.argsort(texts["at"].to_numpy(), kind="stable")
+    one = _arrays(texts["one"])
+    return [one[i] for i in order], texts["label"].to_numpy()[order].astype(float), list(zip(_arrays(changed["one"]), _arrays(changed["two"]), strict=True))
+
+
+def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    return np.split(whole.flatten().to_numpy(zero_copy_only=False), np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(whole) else []
 
 
 class _Rows:
@@ -221,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Mod
     finally:
         sample.unpersist()
     w, bias = fit_vectors(rows, y, swapped, len(chosen))
+    del rows, y, swapped
+    release_memory()
     return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, bias)
 
 
@@ -238,7 +245,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             out = [sent.value.score(t, held) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(column)).schema)
+    return docs.mapInArrow(released(run), docs.select("*", F.lit(0.0).alias(column)).schema)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
