@@ -15,7 +15,7 @@ RANKS = T.synthetic_ranks()
 
 def counts(spark, texts, vocabulary):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    return [r["count"] for r in T.count_exact(df, vocabulary, ["id"]).orderBy("id").collect()]
+    return [r["count"] for r in T.count_exact(df, vocabulary).orderBy("id").collect()]
 
 
 def test_counts_by_rank(spark):
@@ -85,7 +85,7 @@ def test_tokenizer_files(spark):
 def test_guards_and_fallbacks(spark, tmp_path):
     texts = spark.createDataFrame([(1, ""), (2, None), (3, "Hello world!"), (4, "x" * (R.MAX_BYTES + 1))], "id int, text string")
     model = R.BY_ID["kimi-k3"]
-    plain = {r.id: (r["count"], r.exact) for r in counting.count_tokens(texts, model, ["id"]).collect()}
+    plain = {r.id: (r["count"], r.exact) for r in counting.count_tokens(texts, model).collect()}
     assert plain == {1: (0, True), 2: (0, True), 3: (4, False), 4: (2912712, False)}
     store = VocabularyStore(str(tmp_path))
     assert not counting.is_exact(model, store)
@@ -94,7 +94,7 @@ def test_guards_and_fallbacks(spark, tmp_path):
     (folder / "tiktoken.model").write_text("\n".join(f"{base64.b64encode(t).decode()} {r}" for t, r in RANKS.items()))
     assert store.is_downloaded(model) and not counting.is_exact(model, store)  # remembered as missing
     assert store.ensure(model) and counting.is_exact(model, store) and store.size() > 0
-    exact = {r.id: (r["count"], r.exact) for r in counting.count_tokens(texts, model, ["id"], store=store).collect()}
+    exact = {r.id: (r["count"], r.exact) for r in counting.count_tokens(texts, model, store=store).collect()}
     assert exact == {1: (0, True), 2: (0, True), 3: (10, True), 4: (2912712, False)}
     store.clear()
     assert store.size() == 0 and not counting.is_exact(model, store)

@@ -11,25 +11,25 @@ from ..sources.vocabulary import VocabularyStore
 from . import tokenizers as T
 
 
-def count_tokens(texts: DataFrame, model: R.Model | str, id_columns: list[str], text: str = "text", store: VocabularyStore | None = None) -> DataFrame:
+def count_tokens(texts: DataFrame, model: R.Model | str, text: str = "text", store: VocabularyStore | None = None) -> DataFrame:
     """``texts`` with count and exact.
 
     An empty or null text is exactly 0 for every model. A text longer than 10,485,760 UTF-16 units is
     estimated. Others are counted with the model's vocabulary if the store has one that can be read,
-    else estimated. ``id_columns`` must be unique.
+    else estimated.
     """
     found = R.find_model(model) if isinstance(model, str) else model
     if found is None:
         raise ValueError(f"no such model: {model}")
     vocabulary = store.load(found) if store else None
-    empty = F.coalesce(F.length(text), F.lit(0)) == 0
     if vocabulary is None:
         return texts.withColumn("__t", C.token_count(text, found.ratio)).select(*texts.columns, F.col("__t.count").alias("count"), F.col("__t.exact").alias("exact"))
-    countable = texts.where(~empty & (C.utf16_length(text) <= R.MAX_BYTES))
-    exact = T.count_exact(countable, vocabulary, id_columns, text).withColumnRenamed("count", "__count")
-    out = texts.join(exact, id_columns, "left")
-    count = F.when(empty, F.lit(0).cast("bigint")).otherwise(F.coalesce("__count", C.heuristic_tokens(text, found.ratio)))
-    return out.select(*[F.col(c) for c in texts.columns], count.alias("count"), (empty | F.col("__count").isNotNull()).alias("exact"))
+    empty = F.coalesce(F.length(text), F.lit(0)) == 0
+    countable = C.utf16_length(text) <= R.MAX_BYTES
+    # Python functions see every row, whatever stands around them: what is not to be counted is null there.
+    counted = T.count_exact(texts, vocabulary, F.when(~empty & countable, F.col(text)), "__count")
+    count = F.when(empty, F.lit(0).cast("bigint")).when(countable, F.col("__count")).otherwise(C.heuristic_tokens(text, found.ratio))
+    return counted.select(*[F.col(c) for c in texts.columns], count.alias("count"), (empty | countable).alias("exact"))
 
 
 def is_exact(model: R.Model, store: VocabularyStore | None) -> bool:

@@ -1,8 +1,8 @@
 """Exact token counts: split natively, merge each distinct piece once, add up.
 
-A text's tokens are the sum over its pieces, and pieces recur: they are split off by a built-in
-regular expression, counted by text, and only distinct pieces go through the Arrow function that
-merges their bytes.
+A text's tokens are the sum over its pieces, and pieces recur. A built-in regular expression splits
+them off; an Arrow function encodes a batch's pieces as a dictionary, merges the bytes of entries it has
+not met before, and adds up by text. Nothing is shuffled, and no token is ever listed.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ import base64
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HAN = r"\p{IsHan}"
@@ -156,24 +157,34 @@ class TokenizerFile:
         return count
 
 
-def count_pieces(pieces: DataFrame, vocabulary: RankVocabulary | TokenizerFile) -> DataFrame:
-    """``pieces`` (piece, distinct) with their number of tokens, by the one Python function here. The
-    vocabulary is broadcast; it has the size of one model's, whatever the data."""
-    sent = pieces.sparkSession.sparkContext.broadcast(vocabulary)
+#: Pieces whose counts a worker keeps; then it begins anew.
+MAX_KEPT_PIECES = 300_000
 
-    @F.pandas_udf("int")
-    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = sent.value.counter()
-        for p in parts:
-            yield p.map(count).astype("int32")
 
-    return pieces.withColumn("tokens", tokens("piece"))
+def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFile) -> Callable[[Column], Column]:
+    """A function from a column of piece arrays to numbers of tokens (0 for null). The vocabulary is
+    broadcast; it has the size of one model's, whatever the data."""
+    sent = spark.sparkContext.broadcast(vocabulary)
 
+    @F.arrow_udf("bigint")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count, kept = sent.value.counter(), {}
+        for pieces in batches:
+            encoded = pieces.flatten().dictionary_encode()
+            if len(kept) > MAX_KEPT_PIECES:
+                kept.clear()
+            entries = encoded.dictionary.to_pylist()
+            for p in entries:
+                if p not in kept:
+                    kept[p] = count(p)
+            each = np.fromiter((kept[p] for p in entries), np.int64, count=len(entries))
+            sums = np.concatenate([[0], np.cumsum(each[encoded.indices.to_numpy()])]) if len(entries) else np.zeros(1, np.int64)
+            ends = np.cumsum(np.nan_to_num(pieces.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            yield pa.array(np.diff(sums[np.concatenate([[0], ends])]) if len(ends) else ends)
 
-def count_exact(texts: DataFrame, vocabulary: RankVocabulary | TokenizerFile, id_columns: list[str], text: str = "text") -> DataFrame:
-    """(ids, count): tokens of each text, by its ids, which must be unique."""
-    split = texts.select(*id_columns, F.explode(pretokenize(text, vocabulary.pattern)).alias("piece"))
-    uses = split.groupBy(*id_columns, "piece").agg(F.count("*").alias("n"))
-    sizes = count_pieces(uses.select("piece").distinct(), vocabulary)
-    sums = uses.join(sizes, "piece").groupBy(*id_columns).agg(F.sum(F.col("n") * F.col("tokens")).cast("bigint").alias("count"))
-    return texts.select(*id_columns).join(sums, id_columns, "left").select(*id_columns, F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
+    return tokens
+
+
+def count_exact(texts: DataFrame, vocabulary: RankVocabulary | TokenizerFile, text: str | Column = "text", name: str = "count") -> DataFrame:
+    """``texts`` with the number of tokens of each text (0 for null)."""
+    return texts.withColumn(name, token_counter(texts.sparkSession, vocabulary)(pretokenize(text, vocabulary.pattern)))

@@ -104,7 +104,7 @@ def query(sql: str | None = None):
 
 @query(f"SELECT doc_id, CAST(ceil({_utf16('text')} / CAST(3.4 AS DOUBLE)) AS BIGINT) AS count, coalesce(text, '') = '' AS exact FROM documents")
 def heuristic_count(spark, sf_dir):
-    counted = counting.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "claude-opus-4-6", ["doc_id"])
+    counted = counting.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "claude-opus-4-6")
     return counted.select("doc_id", "count", "exact")
 
 
@@ -140,7 +140,7 @@ def running_total(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(strlen(text) - (length(text) - length(replace(text, 'lo', ''))) // 2 - (length(text) - length(replace(text, 'He', ''))) // 2 AS BIGINT) AS count FROM documents")
 def bpe_count(spark, sf_dir):
-    return T.count_exact(table(spark, sf_dir, "documents").select("doc_id", "text"), T.RankVocabulary(T.synthetic_ranks()), ["doc_id"])
+    return T.count_exact(table(spark, sf_dir, "documents").select("doc_id", "text"), T.RankVocabulary(T.synthetic_ranks())).select("doc_id", "count")
 
 
 @query()

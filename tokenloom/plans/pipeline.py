@@ -48,7 +48,7 @@ def count_selection(
     texts = read.where("skip is null").select("path", "mtime", "text")
     if buffers is not None:
         texts = texts.unionByName(opened.select("path", "mtime", "text"))
-    counted = count_tokens(texts, found, ["path"], store=store).select("path", "mtime", F.col("count").alias("tokens"), "exact", F.lit(None).cast("string").alias("skip"))
+    counted = count_tokens(texts, found, store=store).select("path", "mtime", F.col("count").alias("tokens"), "exact", F.lit(None).cast("string").alias("skip"))
     out = left_out.unionByName(unread).unionByName(counted)
     return out.unionByName(known) if known is not None else out
 
