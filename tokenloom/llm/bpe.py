@@ -18,7 +18,9 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -42,8 +44,8 @@ SHIFT = 20
 
 #: A vocabulary file beyond this is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words whose tokens a worker keeps; then it begins anew.
-MAX_KEPT_WORDS = 300_000
+#: Words whose tokens a worker keeps, and as many of the ones before: words that recur stay.
+MAX_KEPT_WORDS = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -91,6 +93,7 @@ class WordBpe:
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word, by the pair occurrence index over all of them."""
@@ -193,10 +196,12 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if len(self.kept) > MAX_KEPT_WORDS:
-            self.kept.clear()
-        kept = self.kept
+            self.before, self.kept = self.kept, {}
+        kept, before = self.kept, self.before
         split = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(w for s in split for w in s if w not in kept and isinstance(w, str)))
+        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in kept and isinstance(w, str)]
+        kept.update({w: before[w] for w in new if w in before})
+        new = [w for w in new if w not in before]
         kept.update(zip(new, map(tuple, self.merge_words(new)), strict=True))
         out = []
         for s in split:
@@ -268,7 +273,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         bpe = _worker(spec)
         for b in batches:
             out = bpe.encode([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
+            ends = np.cumsum([0, *map(len, out)])
+            flat = np.fromiter(chain.from_iterable(out), np.int32, count=int(ends[-1]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[*b.schema.names, ids])
 
     return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
