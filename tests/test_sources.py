@@ -63,7 +63,7 @@ def test_excludes(spark):
 
 
 def test_data_source(spark, tree):
-    spark.dataSource.register(D.WalkSource)
+    D.register(spark)
     assert spark.read.format("tree").load(str(tree)).where("outcome = 'file'").count() == 9
 
 

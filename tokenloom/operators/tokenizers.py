@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _HAN = r"\p{IsHan}"
 _UPPER = rf"[\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{M}}&&[^{_HAN}]]"
 _LOWER = rf"[\p{{Ll}}\p{{Lm}}\p{{Lo}}\p{{M}}&&[^{_HAN}]]"
@@ -164,6 +166,7 @@ MAX_KEPT_PIECES = 300_000
 def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFile) -> Callable[[Column], Column]:
     """A function from a column of piece arrays to numbers of tokens (0 for null). The vocabulary is
     broadcast; it has the size of one model's, whatever the data."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("bigint")

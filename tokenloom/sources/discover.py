@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import columns as C
 from ..plans.registry import MAX_BYTES, NEVER_WALKED
+from ..shipping import ship
 from .ignore import IgnoreRules
 
 FOUND = "path string, relative string, size bigint, mtime bigint, outcome string"
@@ -98,6 +99,7 @@ def in_never_walked(path) -> Column:
 def read_texts(files: DataFrame, path: str = "path") -> DataFrame:
     """``files`` with skip (unreadable or binary, else null) and text. Bytes are read on the executors,
     one file at a time."""
+    ship(files.sparkSession)
     at = files.columns.index(path)
     schema = files.select("*", F.lit(None).cast("string").alias("read_error"), F.lit(None).cast("binary").alias("content")).schema
 
@@ -132,6 +134,11 @@ class WalkSource(DataSource):
         return _WalkReader(self.options.get("path", "."), self.options.get("respectIgnore", "true") == "true")
 
 
+def register(spark: SparkSession) -> None:
+    ship(spark)
+    spark.dataSource.register(WalkSource)
+
+
 class _WalkReader(DataSourceReader):
     def __init__(self, root: str, respect_ignore: bool):
         self.root, self.respect_ignore = root, respect_ignore
