@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .spread import spread
 
 _HAN = r"\p{IsHan}"
 _UPPER = rf"[\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{M}}&&[^{_HAN}]]"
@@ -190,4 +191,4 @@ def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFil
 
 def count_exact(texts: DataFrame, vocabulary: RankVocabulary | TokenizerFile, text: str | Column = "text", name: str = "count") -> DataFrame:
     """``texts`` with the number of tokens of each text (0 for null)."""
-    return texts.withColumn(name, token_counter(texts.sparkSession, vocabulary)(pretokenize(text, vocabulary.pattern)))
+    return spread(texts).withColumn(name, token_counter(texts.sparkSession, vocabulary)(pretokenize(text, vocabulary.pattern)))

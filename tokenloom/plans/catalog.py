@@ -15,6 +15,7 @@ from ..functions import columns as C
 from ..operators import count as counting
 from ..operators import relations as rel
 from ..operators import tokenizers as T
+from ..operators.spread import spread
 from ..sources.ignore import IgnoreRules, parse_rules
 from ..streaming import changes
 from . import registry as R
@@ -145,7 +146,7 @@ def bpe_count(spark, sf_dir):
 
 @query()
 def pretokenize(spark, sf_dir):
-    pieces = table(spark, sf_dir, "documents").select("doc_id", "text", T.pretokenize("text").alias("pieces"))
+    pieces = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", T.pretokenize("text").alias("pieces"))
     return pieces.select("doc_id", F.size("pieces").alias("n_pieces"), (F.array_join("pieces", "") == F.col("text")).alias("covers_text"))
 
 
