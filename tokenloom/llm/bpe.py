@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from ..operators.spread import spread
 from .common import released, small_batches
 
 # Unicode's White_Space characters, as the tokenizer's pattern means them.
@@ -277,7 +278,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             flat = np.fromiter(chain.from_iterable(out), np.int32, count=int(ends[-1]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[*b.schema.names, ids])
 
-    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return spread(df).mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

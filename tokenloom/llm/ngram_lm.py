@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import input_partitions, release_memory, released, small_batches, stream_by_shard, written
 
 #: Counts from BASE ** (q - 1) up to BASE ** q have level q.
@@ -216,7 +217,7 @@ def train(docs: DataFrame) -> Model:
         _, h, c = grams[0]
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "payload": [bits], "words": [h.tobytes() + c.tobytes()], "tokens": [int(c.sum())], "vocabulary": [len(h)]})
 
-    packed = docs.select("text").mapInArrow(released(run), "shard long, n long, keys binary, places binary, counts binary")
+    packed = spread(docs.select("text")).mapInArrow(released(run), "shard long, n long, keys binary, places binary, counts binary")
     built = written(packed.groupBy("shard").applyInPandas(one, "shard long, payload binary, words binary, tokens long, vocabulary long"))
     n, v = built.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     return Model(built, shards, n, v)
@@ -280,7 +281,7 @@ def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAS
                 out = scores(x, _word_counts(x.words, keys, counts), bloom.levels(x.words, 1), bloom.levels(x.pairs, 2), n, v)
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out)], names=[*b.schema.names, "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.mapInArrow(released(run), _with_results(docs))
+    return spread(docs).mapInArrow(released(run), _with_results(docs))
 
 
 def _with_results(docs: DataFrame):

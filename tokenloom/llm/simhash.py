@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import released, small_batches, written
 from .components import components
 
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -230,7 +231,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, hot
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["row", "doc_id", "fp"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(numbered.mapInArrow(released(run), "row long, doc_id long, fp long"))
+    prints = written(spread(numbered).mapInArrow(released(run), "row long, doc_id long, fp long"))
     grouped = written(prints.join(_components_of(prints, most, hot), "fp").withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))))
     first = grouped.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
     gone = written(grouped.select("row").join(first, "row", "left_anti")).withColumnRenamed("row", "__row")

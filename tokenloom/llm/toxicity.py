@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import release_memory, released, small_batches
 
 #: Labelled rows in the fit, at most.
@@ -245,7 +246,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             out = [sent.value.score(t, held) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(released(run), docs.select("*", F.lit(0.0).alias(column)).schema)
+    return spread(docs).mapInArrow(released(run), docs.select("*", F.lit(0.0).alias(column)).schema)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
