@@ -31,6 +31,14 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Make every scan of a table cut its files alike, so that rows keep their places from scan to
+    scan. Spark cuts small inputs by the number of cores it has just then, which changes when executors
+    are lost; from now on it goes by today's number, unless the session names one already."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", max(1, spark.sparkContext.defaultParallelism))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``;
     where that is unset (tests, one machine) a new temporary folder, set for the session."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spread import spread
-from .common import released, small_batches, written
+from .common import pin_splits, released, small_batches, written
 from .components import components
 
 SEED = 42
@@ -224,6 +224,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, hot
     link reaches, are groups by fingerprint. ``docs`` must come in the same order each time, as rows of
     files do; all columns pass through."""
     small_batches(docs.sparkSession)
+    pin_splits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
