@@ -25,7 +25,8 @@ _LOWER = rf"[\p{{Ll}}\p{{Lm}}\p{{Lo}}\p{{M}}&&[^{_HAN}]]"
 _SPACE = r"\p{IsWhite_Space}"
 _SHORT = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
 
-#: Splits before merging: Han runs apart, words with a leading sign, digits by three, signs, space.
+# The alternatives that split texts before merging, in order.
+#: Han runs apart, words with a leading sign, digits by three, signs, space.
 PIECES = "|".join(
     [
         rf"{_HAN}+",
@@ -39,6 +40,7 @@ PIECES = "|".join(
     ]
 )
 
+# Fixed value.
 #: GPT-2's byte-level split, as tokenizer files with a ByteLevel pre-tokenizer use it.
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_SPACE}])|{_SPACE}+"
 
