@@ -150,6 +150,16 @@ def running_total(counted: DataFrame, order: list[str], within: list[str] | None
     return placed.join(F.broadcast(offsets), "__part").withColumn("running_total", (inner + F.col("__offset")).cast("bigint")).drop("__part", "__offset")
 
 
+def progress_marks(counted: DataFrame, seq: str, n: int) -> DataFrame:
+    """The rows at which a count of n files reports: about every hundredth (``seq`` from 1), and the last."""
+    return counted.where((F.col(seq) % max(1, n // 100) == 0) | (F.col(seq) == n))
+
+
+def openable(requested: DataFrame, counted: DataFrame) -> DataFrame:
+    """Of the requested paths those that were counted: no others are to be opened."""
+    return requested.join(counted.select("path"), "path", "left_semi")
+
+
 # Rankings
 
 

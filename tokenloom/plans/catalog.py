@@ -404,6 +404,24 @@ def owning_root(spark, sf_dir):
     return rel.owning_root(files(spark, sf_dir).select("path"), roots).select("path", "root")
 
 
+@query(f"WITH {FILES}, q AS (SELECT '/repo/src1/en/doc_' || doc_id || '.py' AS path FROM documents) SELECT path FROM q WHERE path IN (SELECT path FROM files)")
+def openable_paths(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select(F.concat(F.lit("/repo/src1/en/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+    return rel.openable(asked, files(spark, sf_dir))
+
+
+@query("SELECT doc_id + 1 AS seq FROM documents, (SELECT count(*) AS n FROM documents) WHERE (doc_id + 1) % greatest(1, n // 100) = 0 OR doc_id + 1 = n")
+def progress_marks(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("seq"))
+    return rel.progress_marks(rows, "seq", rows.count())
+
+
+@query(f"WITH {MODELS} SELECT model_id, replace(repo, '/', '--') AS folder, context_limit, CASE WHEN context_limit >= 1000 THEN format('{{:,}}', context_limit) ELSE CAST(context_limit AS VARCHAR) END AS shown FROM models WHERE repo IS NOT NULL")
+def vocabulary_folders(spark, sf_dir):
+    rows = R.models(spark).where("encoder.repo is not null")
+    return rows.select("model_id", C.repository_folder("encoder.repo").alias("folder"), "context_limit", C.thousands("context_limit").alias("shown"))
+
+
 # The count cache
 
 
