@@ -68,3 +68,22 @@ def test_answers_blocks_and_odd_rows(spark, monkeypatch):
     out = sorted((r.doc_id or 0, r.item_id) for r in D.pairs(docs, items, "reply").collect())
     assert out == [(0, 1), (0, 2), (0, 5), (1, 2), (1, 2), (1, 5), (1, 5)]
     assert D.pairs(docs, items.limit(0)).count() == 0 and D.pairs(docs.limit(0), items).count() == 0
+
+
+def test_every_leak_of_thousands_of_items_is_found(spark):
+    """Against brute force by common subsequence: more items than the projection has directions."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(9000)]
+    topic = vocabulary[:60]
+    items = [(i, " ".join(r.choices(topic, k=20) if i % 5 == 0 else r.choices(vocabulary, k=r.randint(12, 40)))) for i in range(2500)]
+    docs, want = [], set()
+    for i in range(300):
+        k, body = items[r.choice([x for x in range(2500) if x % 5])]
+        before, after = (" ".join(r.choices(topic, k=r.randint(0, 90))) for _ in range(2))
+        docs.append((i, f"{before} {body} {after}"))
+        want.add((i, k))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {(x.doc_id, x.item_id) for x in D.pairs(d, b).collect()}
+    assert want <= out
+    for i, k in out - want:
+        assert lcs(D.words_of(items[k][1]), D.words_of(docs[i][1])) >= 0.75 * len(D.words_of(items[k][1]))

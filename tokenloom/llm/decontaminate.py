@@ -3,9 +3,10 @@
 Documents are cut into overlapping passages, as long as the benchmark items they may hold. Passages
 and items are TF-IDF vectors over the benchmark's words (document frequencies are counted over all
 documents), projected on the leading singular vectors of such vectors, which a distributed randomised
-SVD finds from the items and a bounded sample of passages (``SAMPLE_DOCUMENTS``). Passages that are
-close to an item by cosine are then compared word by word: the longest common subsequence must cover
-most of the item, and the item's answer must be there.
+SVD finds from the items and the passages; their cosine goes with each leak. What is compared word by
+word does not depend on it: any passage that has as many of an item's words, in whatever order, as a
+leak must have. The longest common subsequence must then cover most of the item, and the item's answer
+must be there.
 
 The benchmark is taken in blocks of at most ``ITEMS_IN_BLOCK`` items and about ``WORDS_IN_BLOCK`` words,
 so what is broadcast is bounded (about 100 MB); every passage of every document is searched for each.
@@ -37,8 +38,6 @@ RANK, OVERSAMPLING, POWER_ITERATIONS = 96, 16, 2
 SAMPLE_DOCUMENTS = 4_000
 #: Tasks that add up the sample's products, each with a matrix of its own to pass on.
 SAMPLE_TASKS = 16
-#: A passage needs this cosine, and this share of an item's summed word weights, to be compared.
-MIN_COSINE, MIN_MASS = 0.3, 0.5
 #: Words in more than this share of the documents weigh nothing, unless an item has no rarer ones
 #: (an item's rarest TELLING_WORDS always weigh something).
 MAX_SHARE, TELLING_WORDS = 0.05, 6
@@ -88,8 +87,14 @@ class Index:
     weight: np.ndarray
     project: np.ndarray
     items: list[Item]
-    #: Items of like length and summed weight: size, members, unit vectors, summed weights.
-    classes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    #: Each item's size class, least number of common words, and words' numbers.
+    sizes: np.ndarray
+    least: np.ndarray
+    own: list[np.ndarray]
+    #: The items that have each word, and how often: a word's are those from its start to the next one's.
+    starts: np.ndarray
+    holders: np.ndarray
+    times: np.ndarray
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, count=len(words))
@@ -100,33 +105,36 @@ class Index:
         if not words:
             return []
         ids = self.ids(words)
-        telling = np.flatnonzero((ids >= 0) & (self.weight[ids] > 0))
-        if not len(telling):
+        known = np.unique(ids[ids >= 0])
+        if not len(known):
             return []
-        own = ids[telling]
-        sums = np.concatenate([[0.0], np.cumsum(self.weight[own])])
-        found: dict[int, tuple[int, float, float, float]] = {}
-        for size, members, vectors, mass in self.classes:
+        best: dict[int, tuple[int, float, float, float]] = {}
+        for at in np.flatnonzero(self.held(known) >= self.least).tolist():
+            item, size = self.items[at], int(self.sizes[at])
+            its = np.zeros(len(self.number) + 1, bool)
+            its[self.own[at]] = True
             # Windows of twice the size, a size apart: each run of ``size`` words is inside of one.
+            sums = np.concatenate([[0], np.cumsum(its[ids])])
             starts = np.arange(0, max(1, len(words) - size), size)
-            ends = np.minimum(starts + 2 * size, len(words))
-            first, last = np.searchsorted(telling, starts), np.searchsorted(telling, ends)
-            heavy = sums[last] - sums[first]
-            for k in np.flatnonzero(heavy >= MIN_MASS * mass.min() - 1e-9).tolist():
-                inside = own[first[k] : last[k]]
-                z = self.weight[inside] @ self.project[inside]
-                length = float(np.sqrt(z @ z))
-                if not length:
-                    continue
-                near = vectors @ (z / length)
-                a, b = int(starts[k]), int(ends[k])
-                for at in np.flatnonzero((near >= MIN_COSINE) & (heavy[k] >= MIN_MASS * mass - 1e-9)).tolist():
-                    item = self.items[members[at]]
-                    if (got := self.verify(item, words[max(0, a - size // 2) : b + size // 2], float(near[at]))) and (item.item_id not in found or got[2:] > found[item.item_id][2:]):
-                        found[item.item_id] = got
-        return sorted(found.values())
-
-    def verify(self, item: Item, passage: list[bytes], cosine: float) -> tuple[int, float, float, float] | None:
+            first = np.maximum(0, starts - size // 2)
+            last = np.minimum(np.minimum(starts + 2 * size, len(words)) + size // 2, len(words))
+            for k in np.flatnonzero(sums[last] - sums[first] >= self.least[at]).tolist():
+                inside = ids[first[k] : last[k]]
+                if (got := self.verify(item, words[first[k] : last[k]])) and (item.item_id not in best or got[2:] > best[item.item_id][2:]):
+                    best[item.item_id] = (got[0], self.cosine(self.own[at], inside[inside >= 0]), *got[2:])
+        return sorted(best.values())
+
+    def held(self, known: np.ndarray) -> np.ndarray:
+        """How many of each item's words (repeated ones as often) are among the words ``known``."""
+        first, sizes = self.starts[known], self.starts[known + 1] - self.starts[known]
+        spots = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.holders[spots], weights=self.times[spots], minlength=len(self.items))
+
+    def cosine(self, a: np.ndarray, b: np.ndarray) -> float:
+        x, y = self.weight[a] @ self.project[a], self.weight[b] @ self.project[b]
+        return float(x @ y / max(1e-12, np.sqrt((x @ x) * (y @ y))))
+
+    def verify(self, item: Item, passage: list[bytes], cosine: float = 0.0) -> tuple[int, float, float, float] | None:
         common = common_subsequence(item.words, passage) / len(item.words)
         if common < MIN_COMMON:
             return None
@@ -244,16 +252,15 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
         weight[rare] = np.maximum(weight[rare], 0.5)
     passages = written(_sample_passages(docs, n, number, int(np.median([len(o) for o in own]))).repartition(SAMPLE_TASKS))
     project = randomised_svd(passages, own, weight)
-    mass = np.array([weight[ids].sum() for ids in own])
-    classes: dict[tuple[int, int], list[int]] = {}
-    for i, ids in enumerate(own):
-        classes.setdefault((1 << max(3, int(len(ids) - 1).bit_length()), int(np.log2(mass[i]))), []).append(i)
-    made = []
-    for (size, _), members in sorted(classes.items()):
-        vectors = np.array([weight[own[i]] @ project[own[i]] for i in members])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        made.append((size, np.array(members), vectors, mass[members]))
-    return Index(number, weight, project.astype(np.float32), items, made)
+    sizes = np.array([1 << max(3, int(len(ids) - 1).bit_length()) for ids in own])
+    least = np.array([np.ceil(MIN_COMMON * len(ids) - 1e-9) for ids in own])
+    each = [np.unique(ids, return_counts=True) for ids in own]
+    words = np.concatenate([w for w, _ in each])
+    order = np.argsort(words, kind="stable")
+    holders = np.repeat(np.arange(len(own), dtype=np.int32), [len(w) for w, _ in each])[order]
+    times = np.concatenate([k for _, k in each])[order].astype(np.int32)
+    starts = np.searchsorted(words[order], np.arange(len(number) + 1))
+    return Index(number, weight, project.astype(np.float32), items, sizes, least, own, starts, holders, times)
 
 
 LEAKS = "array<struct<item_id:bigint,cosine:double,common:double,answer:double>>"
