@@ -87,3 +87,12 @@ def test_every_leak_of_thousands_of_items_is_found(spark):
     assert want <= out
     for i, k in out - want:
         assert lcs(D.words_of(items[k][1]), D.words_of(docs[i][1])) >= 0.75 * len(D.words_of(items[k][1]))
+
+
+def test_the_projection_is_fitted_on_every_distinct_text(spark):
+    """However many documents there are: of 9,000 texts, one in two given twice, all passages count once."""
+    rows = [(i, f"word{i % 7} other{i} word{i % 5}") for i in range(9000)]
+    docs = spark.createDataFrame([*rows, *rows[::2], (None, None)], "doc_id long, text string")
+    number = {b"word3": 0, b"other8999": 1}
+    got = sorted(tuple(sorted(x.ids)) for x in D._passages(docs, number, 3).collect())
+    assert got == sorted(tuple(own) for i in range(9000) if (own := [0] * ((i % 7 == 3) + (i % 5 == 3)) + [1] * (i == 8999)))

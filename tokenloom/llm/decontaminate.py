@@ -3,7 +3,7 @@
 Documents are cut into overlapping passages, as long as the benchmark items they may hold. Passages
 and items are TF-IDF vectors over the benchmark's words (document frequencies are counted over all
 documents), projected on the leading singular vectors of such vectors, which a distributed randomised
-SVD finds from the items and the passages; their cosine goes with each leak. What is compared word by
+SVD finds from the items and the passages of all distinct texts; their cosine goes with each leak. What is compared word by
 word does not depend on it: any passage that has as many of an item's words, in whatever order, as a
 leak must have. The longest common subsequence must then cover most of the item, and the item's answer
 must be there.
@@ -28,16 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.spread import spread
-from .common import released, small_batches, written
+from .common import input_partitions, released, small_batches, written
 
 ITEMS_IN_BLOCK, WORDS_IN_BLOCK = 5_000, 250_000
 #: Words of an item, at most; what is longer is taken as several items.
 ITEM_WORDS = 2_048
 RANK, OVERSAMPLING, POWER_ITERATIONS = 96, 16, 2
-#: Documents whose passages, beside all items, fit the projection, about.
-SAMPLE_DOCUMENTS = 4_000
-#: Tasks that add up the sample's products, each with a matrix of its own to pass on.
-SAMPLE_TASKS = 16
+#: Tasks that add up the passages' products, each with a matrix of its own to pass on, at least; one
+#: more for each INPUT_TASKS of the input.
+FIT_TASKS, INPUT_TASKS = 16, 8
 #: Words in more than this share of the documents weigh nothing, unless an item has no rarer ones
 #: (an item's rarest TELLING_WORDS always weigh something).
 MAX_SHARE, TELLING_WORDS = 0.05, 6
@@ -182,23 +181,23 @@ def _document_frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[in
     return n, out
 
 
-def _sample_passages(docs: DataFrame, n: int, number: dict[bytes, int], size: int) -> DataFrame:
-    """(ids) of the passages of about SAMPLE_DOCUMENTS documents."""
+def _passages(docs: DataFrame, number: dict[bytes, int], size: int) -> DataFrame:
+    """(ids) of the passages of all distinct texts."""
     sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = sent.value.get
         for b in batches:
             out = []
-            for text in b.column(0).to_pylist():
+            for text in b.column(2).to_pylist():
                 words = words_of(text)
-                for a in range(0, len(words), size):
-                    if own := [i for w in words[a : a + size] if (i := get(w)) is not None]:
-                        out.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["ids"])
+                cut = ([i for w in words[a : a + size] if (i := get(w)) is not None] for a in range(0, len(words), size))
+                out.append([own for own in cut if own])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["h1", "h2", "passages"])
 
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_DOCUMENTS))) == 0)
-    return chosen.mapInArrow(released(run), "ids array<int>")
+    texts = docs.select(F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text").where("text is not null")
+    cut = texts.mapInArrow(released(run), "h1 long, h2 long, passages array<array<int>>").where(F.size("passages") > 0)
+    return cut.dropDuplicates(["h1", "h2"]).select(F.explode("passages").alias("ids"))
 
 
 def _gram_times(passages: DataFrame, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -209,10 +208,15 @@ def _gram_times(passages: DataFrame, weight: np.ndarray, q: np.ndarray) -> np.nd
         weight, q = sent.value
         out = np.zeros_like(q)
         for b in batches:
-            for row in b.column(0).to_pylist():
-                ids = np.asarray(row)
-                w = weight[ids, None]
-                np.add.at(out, ids, w * (w * q[ids]).sum(axis=0))
+            sizes = b.column(0).value_lengths().to_numpy()
+            ids, sizes = b.column(0).flatten().to_numpy(), sizes[sizes > 0]
+            if not len(ids):
+                continue
+            w = weight[ids, None]
+            sums = np.add.reduceat(w * q[ids], np.cumsum(sizes) - sizes, axis=0)
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            out[ids[order][first]] += np.add.reduceat((w * np.repeat(sums, sizes, axis=0))[order], first, axis=0)
         cut = np.array_split(out, blocks)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int64()), pa.array([c.tobytes() for c in cut])], names=["block", "part"])
 
@@ -250,7 +254,9 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     for ids in own:  # an item of frequent words only is told by its rarest ones
         rare = ids[np.argsort(df[ids], kind="stable")[:TELLING_WORDS]]
         weight[rare] = np.maximum(weight[rare], 0.5)
-    passages = written(_sample_passages(docs, n, number, int(np.median([len(o) for o in own]))).repartition(SAMPLE_TASKS))
+    weighed = {w: i for w, i in number.items() if weight[i] > 0}
+    tasks = max(FIT_TASKS, input_partitions(docs) // INPUT_TASKS)
+    passages = written(_passages(docs, weighed, int(np.median([len(o) for o in own]))).repartition(tasks))
     project = randomised_svd(passages, own, weight)
     sizes = np.array([1 << max(3, int(len(ids) - 1).bit_length()) for ids in own])
     least = np.array([np.ceil(MIN_COMMON * len(ids) - 1e-9) for ids in own])
