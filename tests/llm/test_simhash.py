@@ -91,3 +91,23 @@ def test_rows(spark):
     linked = (S.fingerprint(body) ^ S.fingerprint(body + " x")).bit_count() <= 2
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, body + " x"), *([] if linked else [(7, body)]), (5, None), (0, "only null ids"), (8, "alone here now")], key=str) or linked is False
     assert len(kept) == (4 if linked else 5) and kept[0].asDict().keys() == {"doc_id", "text", "component_id"}
+
+
+def test_similar_documents_are_found(spark):
+    """Jaccard similarity of 0.8 on five-word shingles links, which is mostly beyond two bits; less does not."""
+    r = random.Random(3)
+    rows, similar = [], 0
+    for i in range(40):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        for at in range(5, 5 + 20 * (4 if i % 2 else 20), 20):
+            if at < 300:
+                words[at] = "new"
+        rows.append((2 * i + 1, " ".join(words)))
+    wide = lambda a, b: (lambda x, y: len(x & y) >= 0.8 * len(x | y))(*(set(S.shingle_hashes(t).tolist()) for t in (a, b)))
+    want = {rows[k + 1][0] for k in range(0, 80, 2) if wide(rows[k][1], rows[k + 1][1])}
+    assert len(want) == 20
+    df = spark.createDataFrame([*rows, (90, None), (91, ""), (None, rows[0][1])], "doc_id long, text string")
+    kept = sorted(x.doc_id for x in S.keep_similar(df).collect())
+    assert kept == sorted([i for i, _ in rows if i not in want] + [90])
+    assert len({x.doc_id for x in S.keep_one(df).collect()} & want) > 10

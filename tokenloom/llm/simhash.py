@@ -12,12 +12,16 @@ in a large group of near copies, its pairs are not made: its fingerprints (and t
 instead give out their *midpoints*, themselves and every fingerprint one bit away. Two fingerprints
 share a midpoint exactly if they differ in at most 2 bits, so all that share one are linked to its
 smallest: the same components, from at most 65 rows a fingerprint.
+
+Similarity 0.8 on five-word shingles is some ten differing bits, too many to probe for. ``keep_similar``
+therefore takes its candidates from keys of smallest shingle hashes and verifies each by the Jaccard
+similarity of the two sets of shingles.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +42,8 @@ HOT = 32
 #: Words hashed at a time: bounds memory for very long texts.
 CHUNK = 1 << 16
 _ONES = 0xFFFFFFFFFFFFFFFF
+#: Similar documents: words in a shingle, least Jaccard similarity, keys, and smallest hashes in a key.
+WIDE_SHINGLE, SIMILARITY, KEYS, IN_KEY = 5, 0.8, 16, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -199,15 +205,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     ignored; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, shingle))
-    rows = prints.join(_components_of(prints, most, hot), "fp")
+    rows = prints.join(_components_of(prints, lambda fps: links(fps, most, hot)), "fp")
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _components_of(prints: DataFrame, most: int, hot: int) -> DataFrame:
+def _components_of(prints: DataFrame, linking: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint in ``prints`` (doc_id, fp)."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     ids = nodes.where("rep is not null")
-    linked = links(ids.select("fp"), most, hot)
+    linked = linking(ids.select("fp"))
     by = ids.select(F.col("fp").alias("a"), F.col("rep").alias("u"))
     edges = linked.join(by, "a").join(by.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
     roots = components(edges)
@@ -223,17 +229,91 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, hot
     several with that id the first in the table. Rows whose fingerprint no row with an id has, and no
     link reaches, are groups by fingerprint. ``docs`` must come in the same order each time, as rows of
     files do; all columns pass through."""
+    return _keep_first(docs, lambda t: fingerprint(t, shingle), lambda prints, numbered: _components_of(prints, lambda fps: links(fps, most, hot)))
+
+
+def keep_similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """As ``keep_one``, where what links two texts is a Jaccard similarity of at least ``least`` between
+    their sets of shingles (a text of fewer words is one shingle). Texts without words are one group."""
+
+    def linked(prints: DataFrame, numbered: DataFrame) -> DataFrame:
+        one = prints.where("doc_id is not null").groupBy("fp").agg(F.min("row").alias("row"))
+        texts = written(numbered.join(one, "row").select("fp", "text"))
+        return _components_of(prints, lambda fps: similar_links(texts, shingle, least))
+
+    return _keep_first(docs, lambda t: _set_hash(shingle_hashes(t, shingle)), linked)
+
+
+def shingle_hashes(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    words = (text or "").encode().lower().split()
+    size = min(shingle, len(words))
+    if not size:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)), np.uint64))
+
+
+def _set_hash(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+_POINTS = np.random.default_rng(0).integers(0, 1 << 64, KEYS * IN_KEY, dtype=np.uint64)
+
+
+def shingle_keys(hashes: np.ndarray) -> list[int]:
+    """KEYS hashes of IN_KEY smallest ones; texts of similarity 0.8 share one but for one pair in some 5,000."""
+    if not len(hashes):
+        return []
+    least = np.array([(hashes ^ p).min() ^ p for p in _POINTS]).reshape(KEYS, IN_KEY)
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least)]
+
+
+def similar_links(texts: DataFrame, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between the texts (fp, text; one row for each set of shingles) that connect those of
+    similarity ``least`` or more that share a key. In each bucket all are compared with its smallest fp,
+    and what that does not hold with all."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [shingle_keys(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
+
+    every = written(spread(texts).mapInArrow(released(keyed), "fp long, keys array<long>")).select("fp", F.explode("keys").alias("key"))
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1").select("key", "pivot"))
+    rows = written(every.join(shared, "key").where("fp != pivot"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for one, two in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = shingle_hashes(one, shingle), shingle_hashes(two, shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.distinct().join(texts.toDF("a", "text_a"), "a")
+        both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        return written(both.mapInArrow(released(compared), "a long, b long"))
+
+    held = verified(rows.select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
+    loose = written(rows.join(held.toDF("pivot", "fp"), ["pivot", "fp"], "left_anti"))
+    rest = loose.join(rows.select("key", F.col("fp").alias("other")), "key").where("fp != other")
+    return held.unionByName(verified(rest.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))))
+
+
+def _keep_first(docs: DataFrame, print_of: Callable, components_of: Callable) -> DataFrame:
     small_batches(docs.sparkSession)
     pin_splits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([print_of(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["row", "doc_id", "fp"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = written(spread(numbered).mapInArrow(released(run), "row long, doc_id long, fp long"))
-    grouped = written(prints.join(_components_of(prints, most, hot), "fp").withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))))
+    grouped = written(prints.join(components_of(prints, numbered.select("row", "text")), "fp").withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))))
     first = grouped.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
     gone = written(grouped.select("row").join(first, "row", "left_anti")).withColumnRenamed("row", "__row")
     if gone.count() <= BROADCAST_ROWS:
