@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -102,6 +103,29 @@ def test_running_total_over_one_sequence(spark):
     assert out == {i: (i + 1) * (i + 2) // 2 for i in range(500)}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_running_total_of_wide_rows(spark, adaptive):
+    """More columns than key and tokens, many partitions, ties and nulls: as one after the other."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(0, 60_000, 1, 8).select(
+            F.expr("pmod(xxhash64(id), 20000)").alias("k"), F.expr("if(id % 97 = 0, null, id % 13)").alias("tokens"), F.concat(F.lit("/p/"), "id").alias("path"), F.expr("array(id)").alias("parts")
+        )
+        rows = rel.running_total(wide, ["k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(rows) == 60_000
+    total = 0
+    for r in sorted(rows, key=lambda r: (r.k, r.tokens is not None, r.tokens or 0, r.path)):
+        total += r.tokens or 0
+        assert r.running_total == total
+
+
+def test_running_total_of_nothing(spark):
+    assert rel.running_total(spark.createDataFrame([], "k int, tokens long, path string"), ["k"]).collect() == []
+
+
 def test_cache(spark):
     cache = spark.createDataFrame([("m", "/a", 1, 5, True), ("n", "/a", 1, 6, False), ("m", "/a/b", 1, 7, True)], "model_id string, path string, mtime bigint, count bigint, exact boolean")
     work = spark.createDataFrame([("m", "/a", 1), ("m", "/a", 2), ("m", "/c", 1)], "model_id string, path string, mtime bigint")

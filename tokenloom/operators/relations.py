@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
 from ..plans import registry as R
+from ..storage import written
 
 
 def by_locale(label: str | Column) -> Column:
@@ -139,14 +140,23 @@ def totals(counted: DataFrame, tokens: str = "tokens", exact: str | None = None)
 
 
 def running_total(counted: DataFrame, order: list[str], within: list[str] | None = None, tokens: str = "tokens") -> DataFrame:
-    """Totals up to each row, as a stopped count would report them. Without groups (``within``) the rows
-    are one sequence: partitions are summed first, so that only their sums are put in one order."""
+    """``counted`` with the total up to each row, as a stopped count would report it; null tokens add
+    nothing. Rows that tie in ``order`` follow each other by their other columns. ``counted`` must not
+    have a column running_total.
+
+    Without groups (``within``) the rows are one sequence: they are dealt into ranges of it, once, as a
+    table in the shared folder; ranges are summed, and only their sums are put in one order."""
+    kinds = {f.name: f.dataType.simpleString() for f in counted.schema}
+    ties = [c for c in counted.columns if c not in order and not any(k in kinds[c] for k in ("map<", "variant"))]
+    full = [*order, *ties]
     if within:
-        return counted.withColumn("running_total", F.sum(tokens).over(W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).cast("bigint"))
-    placed = counted.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+        sums = F.sum(F.coalesce(tokens, F.lit(0))).over(W.partitionBy(*within).orderBy(*full).rowsBetween(W.unboundedPreceding, 0))
+        return counted.withColumn("running_total", sums.cast("bigint"))
+    # Ranges are sampled anew each time that they are made, so both uses read the rows as they were dealt.
+    placed = written(counted.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sums = placed.groupBy("__part").agg(F.sum(tokens).alias("s"))
     offsets = sums.select("__part", F.coalesce(F.sum("s").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    inner = F.sum(tokens).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    inner = F.sum(F.coalesce(tokens, F.lit(0))).over(W.partitionBy("__part").orderBy(*full).rowsBetween(W.unboundedPreceding, 0))
     return placed.join(F.broadcast(offsets), "__part").withColumn("running_total", (inner + F.col("__offset")).cast("bigint")).drop("__part", "__offset")
 
 
