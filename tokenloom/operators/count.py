@@ -16,7 +16,7 @@ def count_tokens(texts: DataFrame, model: R.Model | str, text: str = "text", sto
 
     An empty or null text is exactly 0 for every model. A text longer than 10,485,760 UTF-16 units is
     estimated. Others are counted with the model's vocabulary if the store has one that can be read,
-    else estimated.
+    else estimated; so is a text that the vocabulary fails on.
     """
     found = R.find_model(model) if isinstance(model, str) else model
     if found is None:
@@ -28,8 +28,9 @@ def count_tokens(texts: DataFrame, model: R.Model | str, text: str = "text", sto
     countable = C.utf16_length(text) <= R.MAX_BYTES
     # Python functions see every row, whatever stands around them: what is not to be counted is null there.
     counted = T.count_exact(texts, vocabulary, F.when(~empty & countable, F.col(text)), "__count")
-    count = F.when(empty, F.lit(0).cast("bigint")).when(countable, F.col("__count")).otherwise(C.heuristic_tokens(text, found.ratio))
-    return counted.select(*[F.col(c) for c in texts.columns], count.alias("count"), (empty | countable).alias("exact"))
+    exact = empty | (countable & F.col("__count").isNotNull())
+    count = F.when(empty, F.lit(0).cast("bigint")).when(exact, F.col("__count")).otherwise(C.heuristic_tokens(text, found.ratio))
+    return counted.select(*[F.col(c) for c in texts.columns], count.alias("count"), exact.alias("exact"))
 
 
 def is_exact(model: R.Model, store: VocabularyStore | None) -> bool:

@@ -1,13 +1,14 @@
-"""Exact token counts: split natively, merge each distinct piece once, add up.
+"""Exact token counts: one Arrow function over whole texts, which adds up and lists nothing.
 
-A text's tokens are the sum over its pieces, and pieces recur. A built-in regular expression splits
-them off; an Arrow function encodes a batch's pieces as a dictionary, merges the bytes of entries it has
-not met before, and adds up by text. Nothing is shuffled, and no token is ever listed.
+Rank tables are encoded by tiktoken, tokenizer files by tokenizers, where these libraries are installed
+and can read them. Otherwise a built-in regular expression splits pieces off natively, and each distinct
+piece of a batch is merged once, here. Nothing is shuffled, and no token leaves the function.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -19,30 +20,56 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .spread import spread
 
-_HAN = r"\p{IsHan}"
-_UPPER = rf"[\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{M}}&&[^{_HAN}]]"
-_LOWER = rf"[\p{{Ll}}\p{{Lm}}\p{{Lo}}\p{{M}}&&[^{_HAN}]]"
-_SPACE = r"\p{IsWhite_Space}"
-_SHORT = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
-
-# The alternatives that split texts before merging, in order.
+try:
+    import tiktoken
+except ImportError:
+    tiktoken = None
+try:
+    import tokenizers as library
+except ImportError:
+    library = None
+
+# The alternatives that split texts before merging, in order, as published with each
+# encoding. \s is Unicode's white space.
+_CONTRACTED = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+_UPPER, _LOWER = r"\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}", r"\p{Ll}\p{Lm}\p{Lo}\p{M}"
+_NO_HAN = r"&&[^\p{Han}]"
 #: Han runs apart, words with a leading sign, digits by three, signs, space.
-PIECES = "|".join(
+KIMI = "|".join(
+    [
+        r"\p{Han}+",
+        rf"[^\r\n\p{{L}}\p{{N}}]?[{_UPPER}{_NO_HAN}]*[{_LOWER}{_NO_HAN}]+{_CONTRACTED}",
+        rf"[^\r\n\p{{L}}\p{{N}}]?[{_UPPER}{_NO_HAN}]+[{_LOWER}{_NO_HAN}]*{_CONTRACTED}",
+        r"\p{N}{1,3}",
+        r" ?[^\s\p{L}\p{N}]+[\r\n]*",
+        r"\s*[\r\n]+",
+        r"\s+(?!\S)",
+        r"\s+",
+    ]
+)
+O200K = "|".join(
     [
-        rf"{_HAN}+",
-        rf"[^\r\n\p{{L}}\p{{N}}]?{_UPPER}*{_LOWER}+{_SHORT}",
-        rf"[^\r\n\p{{L}}\p{{N}}]?{_UPPER}+{_LOWER}*{_SHORT}",
+        rf"[^\r\n\p{{L}}\p{{N}}]?[{_UPPER}]*[{_LOWER}]+{_CONTRACTED}",
+        rf"[^\r\n\p{{L}}\p{{N}}]?[{_UPPER}]+[{_LOWER}]*{_CONTRACTED}",
         r"\p{N}{1,3}",
-        rf" ?[^{_SPACE}\p{{L}}\p{{N}}]+[\r\n]*",
-        rf"{_SPACE}*[\r\n]+",
-        rf"{_SPACE}+(?![^{_SPACE}])",
-        rf"{_SPACE}+",
+        r" ?[^\s\p{L}\p{N}]+[\r\n/]*",
+        r"\s*[\r\n]+",
+        r"\s+(?!\S)",
+        r"\s+",
     ]
 )
+CL100K = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: The split of each encoding that has a name.
+ENCODINGS = {"o200k_base": O200K, "o200k_harmony": O200K, "cl100k_base": CL100K, "r50k_base": BYTE_LEVEL, "p50k_base": BYTE_LEVEL, "gpt2": BYTE_LEVEL}
+
 
-# Fixed value.
-#: GPT-2's byte-level split, as tokenizer files with a ByteLevel pre-tokenizer use it.
-BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_SPACE}])|{_SPACE}+"
+def native(pattern: str) -> str:
+    """A pattern in the words of Spark's regular expressions."""
+    return pattern.replace(r"\p{Han}", r"\p{IsHan}").replace(r"\S", r"[^\p{IsWhite_Space}]").replace(r"\s++$", r"\p{IsWhite_Space}++\z").replace(r"\s", r"\p{IsWhite_Space}")
+
+
+PIECES = native(KIMI)
 
 
 def pretokenize(text: str | Column, pattern: str = PIECES) -> Column:
@@ -91,42 +118,84 @@ def synthetic_ranks() -> dict[bytes, int]:
     return {bytes([b]): b for b in range(256)} | {b"lo": 256, b"He": 257}
 
 
+def _merge(ends: list[int], rank_of: Callable[[int, int, int], int | None]) -> list[int]:
+    """Join adjacent parts, those of lowest rank first and of these the leftmost, until none join. Part i
+    begins at i and ends at ``ends[i]``; ``rank_of`` (start, middle, end) tells the rank of two parts as one.
+    Gives the starts of the parts that are left. Takes n log n steps."""
+    n = len(ends)
+    before, alive, waiting = list(range(-1, n - 1)), [True] * n, []
+
+    def look(i: int) -> None:
+        middle = ends[i]
+        if middle < n and (rank := rank_of(i, middle, ends[middle])) is not None:
+            heapq.heappush(waiting, (rank, i, ends[middle]))
+
+    for i in range(n - 1):
+        look(i)
+    while waiting:
+        _, i, end = heapq.heappop(waiting)
+        middle = ends[i]
+        if not alive[i] or middle >= n or ends[middle] != end:
+            continue  # one of the two has been joined with another meanwhile
+        alive[middle], ends[i] = False, end
+        if end < n:
+            before[end] = i
+            look(i)
+        if before[i] >= 0:
+            look(before[i])
+    return [i for i in range(n) if alive[i]]
+
+
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Join the adjacent parts of lowest rank, leftmost first, until none join."""
-    if piece in ranks:
-        return [piece]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if at < 0:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    """The tokens of a piece: itself if it is one, else what joining its bytes by rank gives."""
+    if piece in ranks or not piece:
+        return [piece] if piece else []
+    starts = _merge(list(range(1, len(piece) + 1)), lambda i, _, end: ranks.get(piece[i:end]))
+    return [piece[i:j] for i, j in zip(starts, [*starts[1:], len(piece)], strict=True)]
 
 
 def merge_symbols(symbols: list[str], merges: dict[tuple[str, str], int]) -> list[str]:
-    while len(symbols) > 1:
-        best = min(range(len(symbols) - 1), key=lambda i: merges.get((symbols[i], symbols[i + 1]), len(merges) + 1))
-        if (symbols[best], symbols[best + 1]) not in merges:
-            break
-        symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
-    return symbols
+    """The same by the ranks of pairs of symbols."""
+
+    def joined(i: int, j: int) -> str:
+        return symbols[i] if j == i + 1 else "".join(symbols[i:j])
+
+    starts = _merge(list(range(1, len(symbols) + 1)), lambda i, middle, end: merges.get((joined(i, middle), joined(middle, end))))
+    return [joined(i, j) for i, j in zip(starts, [*starts[1:], len(symbols)], strict=True)]
+
+
+def _each(count: Callable[[str], int]) -> Callable[[list[str]], list[int | None]]:
+    """Counts of texts; null for one that fails, which is not to take the others with it."""
+
+    def one(text: str) -> int | None:
+        try:
+            return count(text)
+        except Exception:
+            return None
+
+    return lambda texts: [one(t) for t in texts]
 
 
 class RankVocabulary:
-    """A rank table with its split."""
+    """A rank table with its split. ``pieces``: the split as Spark's regular expressions have it."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PIECES):
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str = KIMI):
+        self.ranks, self.pattern, self.pieces = ranks, pattern, native(pattern)
+        #: The library wants every byte to be a token.
+        self.whole = tiktoken is not None and all(bytes([b]) in ranks for b in range(256))
 
     def counter(self) -> Callable[[str], int]:
+        """Counts a piece."""
         ranks = self.ranks
         return lambda piece: len(merge_bytes(piece.encode(), ranks))
 
+    def text_counter(self) -> Callable[[list[str]], list[int | None]] | None:
+        """Counts whole texts; None where only pieces can be counted."""
+        if not self.whole:
+            return None
+        encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return _each(lambda text: len(encoding.encode_to_numpy(text, disallowed_special=())))
+
 
 def _byte_characters() -> list[str]:
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -135,23 +204,32 @@ def _byte_characters() -> list[str]:
 
 
 class TokenizerFile:
-    """A tokenizer.json: byte-level BPE without a normalizer. What else a file may hold is refused,
-    and the model's count stays an estimate. A template's own tokens never count: they are there for an
-    empty text as well, and that is taken off."""
+    """A tokenizer.json. The library reads all kinds; without it, byte-level BPE without a normalizer is
+    read here, and other files are refused, so that the model's count stays an estimate. A template's own
+    tokens never count: they are there for an empty text as well, and that is taken off."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        self.text, self.whole, refused = text, False, None
+        if library is not None:
+            try:
+                library.Tokenizer.from_str(text)
+                self.whole = True
+                return
+            except Exception as e:  # the library's own error has no narrower type
+                refused = e
         model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or spec.get("normalizer"):
-            raise ValueError("only byte-level BPE files without a normalizer are read")
+            raise ValueError("without the tokenizers library only byte-level BPE files without a normalizer are read") from refused
         if split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
-            raise ValueError("only the ByteLevel pre-tokenizer without a prefix space is read")
-        self.pattern = BYTE_LEVEL if split.get("use_regex", True) else r"(?s).+"
+            raise ValueError("without the tokenizers library only the ByteLevel pre-tokenizer without a prefix space is read") from refused
+        self.pieces = native(BYTE_LEVEL) if split.get("use_regex", True) else r"(?s).+"
         self.vocab = model["vocab"]
         self.merges = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.unknown = model.get("unk_token")
 
     def counter(self) -> Callable[[str], int]:
+        """Counts a piece."""
         chars, vocab, merges, unknown = _byte_characters(), self.vocab, self.merges, self.unknown
 
         def count(piece: str) -> int:
@@ -161,19 +239,35 @@ class TokenizerFile:
 
         return count
 
+    def text_counter(self) -> Callable[[list[str]], list[int | None]] | None:
+        if not self.whole:
+            return None
+        tokenizer = library.Tokenizer.from_str(self.text)
+        tokenizer.no_truncation(), tokenizer.no_padding()
+        # What a text says is text, be it a special token's name.
+        tokenizer.encode_special_tokens = True
+        empty = len(tokenizer.encode("").ids)
+        return _each(lambda text: max(0, len(tokenizer.encode(text).ids) - empty))
+
 
 #: Pieces whose counts a worker keeps; then it begins anew.
 MAX_KEPT_PIECES = 300_000
 
 
-def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFile) -> Callable[[Column], Column]:
-    """A function from a column of piece arrays to numbers of tokens (0 for null). The vocabulary is
-    broadcast; it has the size of one model's, whatever the data."""
+def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFile) -> Callable[[str | Column], Column]:
+    """A function from a column of texts to numbers of tokens: 0 for null, null where a text cannot be
+    encoded. The vocabulary is broadcast; it has the size of one model's, whatever the data."""
     ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("bigint")
-    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = sent.value.text_counter()
+        for texts in batches:
+            yield pa.array(count([t or "" for t in texts.to_pylist()]), pa.int64())
+
+    @F.arrow_udf("bigint")
+    def of_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count, kept = sent.value.counter(), {}
         for pieces in batches:
             encoded = pieces.flatten().dictionary_encode()
@@ -188,9 +282,11 @@ def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFil
             ends = np.cumsum(np.nan_to_num(pieces.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
             yield pa.array(np.diff(sums[np.concatenate([[0], ends])]) if len(ends) else ends)
 
-    return tokens
+    if vocabulary.whole:
+        return lambda text: of_texts(F.col(text) if isinstance(text, str) else text)
+    return lambda text: of_pieces(pretokenize(text, vocabulary.pieces))
 
 
 def count_exact(texts: DataFrame, vocabulary: RankVocabulary | TokenizerFile, text: str | Column = "text", name: str = "count") -> DataFrame:
-    """``texts`` with the number of tokens of each text (0 for null)."""
-    return spread(texts).withColumn(name, token_counter(texts.sparkSession, vocabulary)(pretokenize(text, vocabulary.pattern)))
+    """``texts`` with the number of tokens of each text (0 for null; null where it cannot be encoded)."""
+    return spread(texts).withColumn(name, token_counter(texts.sparkSession, vocabulary)(text))

@@ -24,10 +24,13 @@ def count_selection(
 
     Paths below other chosen paths are counted once. A file that alone is chosen is counted even if
     ignore rules name it. Counts in ``cache`` are used where model, path and time agree; open
-    ``buffers`` (path, text) stand for what is on disk.
+    ``buffers`` (path, text) stand for what is on disk. A vocabulary that the store lacks is fetched if
+    the store may and the setting ``download_tokenizers`` says so.
     """
     config = config or EngineConfig()
     found = model if isinstance(model, R.Model) else R.find_model(model or config.default_model) or R.default_model()
+    if store is not None and config.download_tokenizers and store.path(found) and not store.is_downloaded(found):
+        store.ensure(found)
     roots = [r["path"] for r in rel.dedupe_selection(spark.createDataFrame([(os.path.abspath(p),) for p in paths], "path string")).orderBy("path").collect()]
     files = discover(spark, roots, config.ignore_gitignored_files)
     if len(roots) == 1 and not os.path.isdir(roots[0]):

@@ -7,7 +7,7 @@ import threading
 import urllib.request
 from collections.abc import Callable
 
-from ..operators.tokenizers import RankVocabulary, TokenizerFile, parse_rank_file
+from ..operators.tokenizers import ENCODINGS, KIMI, RankVocabulary, TokenizerFile, parse_rank_file
 from ..plans.registry import Model
 
 #: A vocabulary beyond this is refused.
@@ -39,6 +39,8 @@ class VocabularyStore:
     def __init__(self, folder: str, fetch: Callable[[str], bytes | None] | None = None, base_url: str = "https://huggingface.co"):
         self.folder, self.fetch, self.base_url = folder, fetch, base_url
         self.lock, self.loaded, self.missing, self.generation = threading.Lock(), {}, set(), 0
+        #: One lock for each repository that is being fetched: callers that come meanwhile wait for it.
+        self.fetching: dict[str, threading.Lock] = {}
 
     def path(self, model: Model) -> str | None:
         name = {"hf": "tokenizer.json", "tiktokenModel": "tiktoken.model"}.get(model.kind)
@@ -49,9 +51,9 @@ class VocabularyStore:
 
     def load(self, model: Model) -> RankVocabulary | TokenizerFile | None:
         """None where there is no file, or none that can be read: counts are then estimates. Encodings
-        without a repository are read from a rank file of their name in the folder."""
+        without a repository are read from a rank file of their name in the folder, if their split is known."""
         key = model.repo or model.encoding
-        if key is None:
+        if key is None or (model.repo is None and model.encoding not in ENCODINGS):
             return None
         with self.lock:
             if key in self.loaded:
@@ -64,7 +66,7 @@ class VocabularyStore:
                     raise ValueError("too large")
                 with open(path, encoding="utf-8") as f:
                     text = f.read()
-                made = TokenizerFile(text) if model.kind == "hf" else RankVocabulary(parse_rank_file(text))
+                made = TokenizerFile(text) if model.kind == "hf" else RankVocabulary(parse_rank_file(text), ENCODINGS.get(model.encoding, KIMI))
             except (OSError, ValueError, KeyError):
                 self.missing.add(key)
                 return None
@@ -74,15 +76,22 @@ class VocabularyStore:
     def ensure(self, model: Model) -> bool:
         """Load the model's vocabulary, fetching it first if the store may; whether counts are exact."""
         key = model.repo or model.encoding
+        if key is None:
+            return False
         with self.lock:
             self.missing.discard(key)
             generation = self.generation
+            own = self.fetching.setdefault(key, threading.Lock())
         path = self.path(model)
-        if path and not os.path.isfile(path) and self.fetch:
-            body = self.fetch(f"{self.base_url}/{model.repo}/resolve/main/{os.path.basename(path)}")
-            with self.lock:
-                if body is not None and generation == self.generation:  # not cleared meanwhile
-                    write_atomically(path, body)
+        with own:
+            if path and not os.path.isfile(path) and self.fetch:
+                names = [os.path.basename(path), *(["tokenizer_config.json"] if model.kind == "hf" else [])]
+                bodies = [self.fetch(f"{self.base_url}/{model.repo}/resolve/main/{n}") for n in names]
+                with self.lock:
+                    if bodies[0] is not None and generation == self.generation:  # not cleared meanwhile
+                        for n, body in zip(names, bodies, strict=True):
+                            if body is not None:  # the configuration is optional
+                                write_atomically(os.path.join(os.path.dirname(path), n), body)
         return self.load(model) is not None
 
     def clear(self) -> None:
