@@ -134,9 +134,9 @@ def conversation_tokens(spark, sf_dir):
     return rel.running_total(turns, ["turn"], ["conv_id"])
 
 
-@query(f"WITH {FILES} SELECT doc_id, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM files")
+@query(f"WITH {FILES} SELECT doc_id, path, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM files")
 def running_total(spark, sf_dir):
-    return rel.running_total(files(spark, sf_dir).select("doc_id", "tokens"), ["doc_id"])
+    return rel.running_total(files(spark, sf_dir).select("doc_id", "path", "tokens"), ["doc_id"])
 
 
 @query("SELECT doc_id, CAST(strlen(text) - (length(text) - length(replace(text, 'lo', ''))) // 2 - (length(text) - length(replace(text, 'He', ''))) // 2 AS BIGINT) AS count FROM documents")
@@ -144,6 +144,23 @@ def bpe_count(spark, sf_dir):
     return T.count_exact(table(spark, sf_dir, "documents").select("doc_id", "text"), T.RankVocabulary(T.synthetic_ranks())).select("doc_id", "count")
 
 
+@query()
+def vocabulary_count(spark, sf_dir):
+    """Exact counts over a public vocabulary of 50,256 tokens, where its file is installed."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="ascii") as f:
+        vocabulary = T.RankVocabulary(T.parse_rank_file(f.read()), public_tokenizers.PATTERN)
+    return T.count_exact(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "count")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '') || chr(65533) || 'é') AS decoded FROM documents")
+def decode_bytes(spark, sf_dir):
+    """Bytes with a byte order mark before the text and one behind it that is no UTF-8."""
+    content = F.concat(F.lit(b"\xef\xbb\xbf"), F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(b"\xff\xc3\xa9"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.decode_utf8(content)).alias("decoded"))
+
+
 # The split without look-ahead, which RE2 lacks: the same where no two white spaces stand side by side
 # (other texts are tested against expected pieces), and where no Han stands in words.
 _SHORT = "(?i:''s|''t|''re|''ve|''m|''ll|''d)?"
@@ -239,13 +256,31 @@ def listing_cap(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT substr(path, 7) AS display, tokens FROM files WHERE contains(lower(substr(path, 7)), 'src1/en/doc_2')")
 def filter_listing(spark, sf_dir):
-    rows = files(spark, sf_dir).select("path", F.substring("path", 7, 10_000).alias("display"), "tokens")
+    rows = files(spark, sf_dir).select("path", F.expr("substring(path, 7)").alias("display"), "tokens")
     return rel.listing(rows, term="  SRC1/en/Doc_2 ", most=None).select("display", "tokens")
 
 
 # Limits and numbers
 
 
+@query(f"WITH {FILES} SELECT path, substr(path, 7) AS display, tokens FROM files ORDER BY substr(path, 7) COLLATE en_US DESC, path LIMIT 500")
+def sorted_listing(spark, sf_dir):
+    rows = files(spark, sf_dir).select("path", F.expr("substring(path, 7)").alias("display"), "tokens")
+    return rel.listing(rows, "path", ascending=False, most=500)
+
+
+@query(
+    f"WITH {FILES}, t AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, CAST(max(tokens) AS DOUBLE) AS widest FROM files) SELECT path, printf('%.1f', tokens / total * 100) || '%' AS table_share, "
+    "printf('%.2f', tokens / widest * 100) AS bar_width, CASE WHEN tokens / widest >= 0.1 THEN printf('%.0f', tokens / widest * 100) ELSE printf('%.1f', tokens / widest * 100) END || '%' AS bar_share FROM files, t"
+)
+def table_shares(spark, sf_dir):
+    rows = files(spark, sf_dir).select("path", "tokens")
+    whole = F.broadcast(rows.agg(F.sum("tokens").alias("total"), F.max("tokens").alias("widest")))  # one row
+    return rows.crossJoin(whole).select(
+        "path", C.table_share("tokens", "total").alias("table_share"), C.bar_width("tokens", "widest").alias("bar_width"), C.bar_share(F.col("tokens") / F.col("widest")).alias("bar_share")
+    )
+
+
 def _folder_models(spark, sf_dir):
     """Tokens of each source, against every model's limit and no limit."""
     limits = F.array(*[F.struct(F.lit(m.model_id).alias("model_id"), F.lit(m.context_limit).cast("bigint").alias("context_limit")) for m in R.MODELS], F.struct(F.lit("none").alias("model_id"), F.lit(None).cast("bigint").alias("context_limit")))
@@ -283,7 +318,7 @@ def format_number(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    ignored = IgnoreRules(parse_rules(RULES)).column(F.substring("path", 7, 10_000))
+    ignored = IgnoreRules(parse_rules(RULES)).column(F.expr("substring(path, 7)"))
     return rel.classify(files(spark, sf_dir), ignored=ignored)
 
 
@@ -500,6 +535,20 @@ def status_lines(spark, sf_dir):
     )
 
 
+@query(
+    f"WITH {FILES}, {MODELS} SELECT path, model_id, '**' || regexp_replace(path, '^.*/', '') || '**' || chr(10) || chr(10) || 'Model: ' || label || chr(10) || 'Context: ' || "
+    f"printf('%.1f', tokens / CAST(context_limit AS DOUBLE) * 100) || '% of ' || {_shown('context_limit')} || CASE WHEN tokens / CAST(context_limit AS DOUBLE) * 100 >= 100 THEN chr(10) || chr(10) || 'Over the context limit.' "
+    "WHEN tokens / CAST(context_limit AS DOUBLE) * 100 >= 80 THEN chr(10) || chr(10) || 'Approaching the context limit.' ELSE '' END || chr(10) || chr(10) || 'Estimated. ' || "
+    "CASE WHEN kind IN ('hf', 'tiktokenModel') THEN 'Load the model''s tokenizer for an exact count.' ELSE provider || ' does not publish a tokenizer for this model.' END AS tooltip "
+    "FROM files CROSS JOIN models WHERE model_id IN ('claude-opus-5', 'kimi-k3', 'gpt-3.5-turbo')"
+)
+def tooltips(spark, sf_dir):
+    """A registry's few models beside every file: literal rows, broadcast."""
+    chosen = F.broadcast(R.models(spark).where(F.col("model_id").isin("claude-opus-5", "kimi-k3", "gpt-3.5-turbo")))
+    text = C.tooltip(C.file_name("path"), "tokens", F.lit(False), "label", "provider", "encoder.kind", "context_limit")
+    return files(spark, sf_dir).crossJoin(chosen).select("path", "model_id", text.alias("tooltip"))
+
+
 @query(
     "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
     "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) "
