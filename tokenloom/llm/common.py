@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
 
 #: Rows in one Arrow batch: texts may be long, so batches are small.
 ARROW_ROWS = 512
@@ -26,9 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small, whatever the rows weigh, and see that workers have this package."""
+    """Keep Arrow batches small, whatever the rows weigh, and see that workers have this package. Plans
+    are lazy and the setting is the session's, so no operator makes it larger than another asked for."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
 
 
 def pin_splits(spark: SparkSession) -> None:
@@ -39,21 +44,17 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", max(1, spark.sparkContext.defaultParallelism))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``;
-    where that is unset (tests, one machine) a new temporary folder, set for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tokenloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet into the shared folder and read them again."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """For actions inside: what the JVM would not compile, as the method for a stage is too long, Spark runs
+    in smaller ones. The session's setting comes back afterwards."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 8000)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def release_memory() -> None:
@@ -115,7 +116,8 @@ def stream_by_shard(
     )
     right = probe.select(
         F.col(shard).cast("long").alias("shard"),
-        F.floor(F.rand(7) * copies).cast("int").alias("copy") if copies > 1 else F.lit(0).alias("copy"),
+        # By the row itself: a task that runs again deals its rows alike, in whatever order they come.
+        F.pmod(F.xxhash64(*probe.columns), F.lit(copies)).cast("int").alias("copy") if copies > 1 else F.lit(0).alias("copy"),
         F.lit(1).alias("kind"),
         F.lit(None).cast("binary").alias("payload"),
         *fields,
