@@ -26,6 +26,20 @@ def test_words_signs_and_scripts():
     same(["", " ", "Hello, world! don't", "ÉCOLE é À ß ẞ İ ΣΑΣ", "<|startoftext|>a<|endoftext|>", "<|startoftext", "漢字 한국어 हिन्दी", "🙂👍🏽 ½ Ⅷ ² x³", "a\x1c\x85\u00a0\u2028\ufeffb", "\ua7d4\u1c89\U00010d57", "aaaa" * 300])
 
 
+def test_words_of_one_byte_alone():
+    fresh = bpe.WordBpe(json.load(open(PATH)))
+    assert fresh.encode(["1"]) == [LIBRARY.encode("1", add_special_tokens=False).ids] and fresh.merge_words([]) == []
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_KEPT_WORDS", 10)
+    fresh, r = bpe.WordBpe(json.load(open(PATH))), random.Random(1)
+    for _ in range(20):
+        texts = [" ".join("".join(r.choice("thean") for _ in range(r.randint(1, 6))) for _ in range(8)) for _ in range(3)]
+        assert fresh.encode(texts) == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        assert len(fresh.kept) <= 10 + 24
+
+
 def test_random_texts_agree_with_the_library():
     r = random.Random(0)
     pool = list("abcdeAEIΣσİıßéÀ '’sStT<|>\x1c\x85\u200b1२Ⅷ½ǅ漢🙂\u0345ﬁ\r\n\t.,!aaaaththe") + ["<|startoftext|>", "'ll"]

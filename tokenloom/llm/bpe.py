@@ -1,10 +1,11 @@
 """BPE encoding and decoding over a pair occurrence index.
 
-All distinct new words of a batch are laid out as one array of symbols. An index maps each
+All distinct new words of some batches are laid out as one array of symbols. An index maps each
 mergeable pair to all its positions; ranks are applied in ascending order, each to its whole
-list of positions, and only the lists of the pairs beside a merge are touched. A word's symbols
-then are its tokens. Words recur, so their tokens are kept (a bounded number of them) for the
-batches that follow.
+list of positions at once, and only the lists of the pairs beside a merge are touched. A word's
+symbols then are its tokens. What stands between white space recurs, so its tokens are kept (a
+bounded number of them) for the batches that follow, by the text as it is: only new pieces are
+normalised and split.
 
 The vocabulary file is read on the driver (its path is a parameter) and broadcast: its size is
 that of one tokenizer, whatever the data.
@@ -17,7 +18,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -45,8 +46,10 @@ SHIFT = 20
 
 #: A vocabulary file beyond this is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words whose tokens a worker keeps, and as many of the ones before: words that recur stay.
-MAX_KEPT_WORDS = 200_000
+#: Pieces whose tokens a worker keeps, and as many of the ones before: pieces that recur stay.
+MAX_KEPT_WORDS = 300_000
+#: Texts that are encoded together: batches are gathered up to so many bytes.
+GATHERED_BYTES = 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -80,6 +83,7 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", WHITE_SPACE))
         self.plain_pieces = re.compile(split["pattern"]["Regex"].replace("[^\\s\\p{L}\\p{N}]", "(?:[^\\s\\w]|_)").replace("[\\p{L}]", "[^\\W\\d_]").replace("[\\p{N}]", "\\d"))
+        self.spaces = re.compile(f"[{WHITE_SPACE}]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -88,9 +92,15 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault(self.vocab[a] << SHIFT | self.vocab[b], (rank, self.vocab[a + b]))
+        self.no_rank = len(model["merges"])
+        self.parts = {rank: (pair >> SHIFT, pair & (1 << SHIFT) - 1, merged) for pair, (rank, merged) in self.merges.items()}
+        keys = sorted(self.merges)
+        self.pair_keys = np.array([*keys, 1 << 62])
+        self.pair_ranks = np.array([*(self.merges[k][0] for k in keys), self.no_rank])
         chars = byte_characters()
         self.inner = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + self.suffix) for c in chars]
+        self.inner_of, self.last_of = (np.array([-1 if i is None else i for i in x]) for x in (self.inner, self.last))
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.kept: dict[str, tuple[int, ...]] = {}
@@ -98,6 +108,89 @@ class WordBpe:
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word, by the pair occurrence index over all of them."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw])
+        ends = np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        symbol = self.inner_of[flat]
+        last = ends[sizes > 0] - 1
+        symbol[last] = self.last_of[flat[last]]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        if (symbol < 0).any():  # bytes that the vocabulary lacks
+            symbol, owner = symbol[symbol >= 0], owner[symbol >= 0]
+        at = np.arange(len(symbol))
+        first = np.append(True, owner[1:] != owner[:-1])[: len(symbol)]
+        before = np.where(first, -1, at - 1)
+        after = np.where(np.append(first[1:], True)[: len(symbol)], -1, at + 1)
+
+        def ranks_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """The merge of each pair; one past the last where there is none."""
+            key = left << SHIFT | right
+            spot = np.searchsorted(self.pair_keys, key)
+            return np.where(self.pair_keys[spot] == key, self.pair_ranks[spot], self.no_rank)
+
+        #: rank: the positions of its pair
+        index: dict[int, list[int]] = {}
+        pairs = at[after >= 0]
+        ranks = ranks_of(symbol[pairs], symbol[after[pairs]])
+        order = np.argsort(ranks, kind="stable")
+        pairs, ranks = pairs[order], ranks[order]
+        cuts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])[: len(ranks)]).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(ranks)], strict=False):
+            if ranks[i] != self.no_rank:
+                index[int(ranks[i])] = pairs[i:j].tolist()
+        active = list(index)
+        heapq.heapify(active)
+        again: set[int] = set()
+        while active:
+            rank = heapq.heappop(active)
+            left, right, merged = self.parts[rank]
+            spots = np.array(index.pop(rank))
+            spots = spots[symbol[spots] == left]
+            nexts = after[spots]
+            spots = spots[(nexts >= 0) & (symbol[nexts] == right)]
+            if left == right:
+                # Overlapping pairs: the leftmost goes first.
+                free, taken = [], -1
+                for i in sorted(set(spots.tolist())):
+                    if i != taken:
+                        free.append(i)
+                        taken = int(after[i])
+                spots = np.array(free, np.int64)
+            if not len(spots):
+                continue
+            nexts = after[spots]
+            beyond = after[nexts]
+            symbol[spots], symbol[nexts], after[spots] = merged, -1, beyond
+            inside = beyond >= 0
+            before[beyond[inside]] = spots[inside]
+            ahead = before[spots]
+            starts = np.concatenate([spots[inside], ahead[ahead >= 0]])
+            found = ranks_of(symbol[starts], symbol[after[starts]])
+            for r, i in zip(found.tolist(), starts.tolist(), strict=True):
+                if r == self.no_rank:
+                    continue
+                if r < rank:  # that pair should have come before others of this word
+                    again.add(int(owner[i]))
+                if r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
+                    heapq.heappush(active, r)
+        ids = symbol[symbol >= 0].tolist()
+        counts = np.cumsum(np.bincount(owner[symbol >= 0], minlength=len(words))).tolist()
+        out = [ids[i:j] for i, j in zip([0, *counts], counts, strict=False)]
+        if again:
+            some = sorted(again)
+            for w, tokens in zip(some, self.merge_in_turn([words[w] for w in some]), strict=True):
+                out[w] = tokens
+        return out
+
+    def merge_in_turn(self, words: list[str]) -> list[list[int]]:
+        """The same, one position at a time: a merge that makes a pair of a lower rank in its word holds the
+        word's other positions back until that pair is merged."""
         symbol: list[int] = []
         before: list[int] = []
         after: list[int] = []
@@ -176,8 +269,17 @@ class WordBpe:
             out.append(ids)
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """What stands between white space: neither normalising nor splitting looks beyond it. Python takes
+        four control characters for white space that the tokenizer does not."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [x for x in self.spaces.split(text) if x]
+        return text.split()
+
     def split(self, text: str) -> list[str | int]:
         """Special tokens as ids, all else as normalised words."""
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
         out: list[str | int] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
@@ -195,25 +297,35 @@ class WordBpe:
                 out += (self.pieces if PLAIN.search(low) else self.plain_pieces).findall(low)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def learn(self, chunks: list[str]) -> None:
+        """Keep the tokens of what is not kept yet."""
+        split = [self.split(c) for c in chunks]
+        tokens = dict.fromkeys(w for s in split for w in s if isinstance(w, str))
+        # A word of plain letters is a piece as well, and may have been one.
+        words = [w for w in tokens if not (w.isascii() and w.isalpha() and w in self.kept)]
+        tokens.update((w, self.kept[w]) for w in tokens if w in self.kept and w.isascii() and w.isalpha())
+        tokens.update(zip(words, self.merge_words(words), strict=True))
+        for c, s in zip(chunks, split, strict=True):
+            self.kept[c] = tuple(chain.from_iterable([w] if isinstance(w, int) else tokens[w] for w in s))
+
+    def prepare(self, texts: Iterable[str]) -> None:
+        """Learn all that ``texts`` hold, together."""
         if len(self.kept) > MAX_KEPT_WORDS:
             self.before, self.kept = self.kept, {}
-        kept, before = self.kept, self.before
-        split = [self.split(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in kept and isinstance(w, str)]
-        kept.update({w: before[w] for w in new if w in before})
-        new = [w for w in new if w not in before]
-        kept.update(zip(new, map(tuple, self.merge_words(new)), strict=True))
-        out = []
-        for s in split:
-            ids: list[int] = []
-            for w in s:
-                if isinstance(w, int):
-                    ids.append(w)
-                else:
-                    ids += kept[w]
-            out.append(ids)
-        return out
+        new: set[str] = set()
+        for t in texts:
+            new.update(self.cut(t))
+        new.difference_update(self.kept)
+        known = [c for c in new if c in self.before]
+        self.kept.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        new.difference_update(known)
+        self.learn(sorted(new))
+
+    def encode(self, texts: list[str], prepared: bool = False) -> list[list[int]]:
+        if not prepared:
+            self.prepare(texts)
+        get = self.kept.__getitem__
+        return [list(chain.from_iterable(map(get, self.cut(t)))) for t in texts]
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, the tokens one space apart."""
@@ -256,6 +368,19 @@ class _Spec:
         return self.broadcast.value
 
 
+def _gather(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that are worked on together, as the column ``at`` has about GATHERED_BYTES in them."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if size >= GATHERED_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _free(df: DataFrame, *names: str) -> None:
     taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
     if taken:
@@ -272,11 +397,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(spec)
-        for b in batches:
-            out = bpe.encode([t or "" for t in b.column(at).to_pylist()])
-            ends = np.cumsum([0, *map(len, out)])
-            flat = np.fromiter(chain.from_iterable(out), np.int32, count=int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[*b.schema.names, ids])
+        for gathered in _gather(batches, at):
+            bpe.prepare(t or "" for b in gathered for t in b.column(at).to_pylist())
+            for b in gathered:
+                out = bpe.encode([t or "" for t in b.column(at).to_pylist()], prepared=True)
+                ends = np.cumsum([0, *map(len, out)])
+                flat = np.fromiter(chain.from_iterable(out), np.int32, count=int(ends[-1]))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[*b.schema.names, ids])
 
     return spread(df).mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
