@@ -60,10 +60,30 @@ def test_naming_a_group_alone_changes_little(spark, learned, monkeypatch):
 
 def test_swaps():
     out = list(X.swaps("Nice women here. No names.\nA man came"))
+    assert ("sie kam", "er kam") in list(X.swaps("Sie kam")) and ("les femmes", "les hommes") in list(X.swaps("Les femmes"))
     assert ("nice women here.", "nice men here.") in out and ("a man came", "a woman came") in out and len(out) == 2
     assert list(X.swaps("human womankind")) == []
 
 
+def test_the_tables_texts_hold_swaps(spark):
+    """The penalty acts on the given tables too: they hold words that tell a gender, though no group's name."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = X.fit(docs, labels)
+    assert model.swaps > 20
+    told = [sum(model.weights.get(f, 0.0) for f in X.features_of(w)) for w in ("he", "she", "they")]
+    assert max(told) - min(told) < 0.2
+
+
+def test_swaps_are_counted_by_what_they_change(spark):
+    docs = spark.createDataFrame([(1, "He came. He came"), (2, "she said he is a moron")], "doc_id long, text string")
+    rows = docs.select("text", F.col("doc_id").cast("int").alias("label"))
+    at = {"he": 0, "she": 1, "they": 2, "moron": 3}
+    *_, swapped, times = X._vectors(rows.withColumn("label", F.lit(0)), at)
+    seen = {(tuple(a.tolist()), tuple(b.tolist())): int(n) for (a, b), n in zip(swapped, times, strict=True)}
+    # In the second text "he" to "she" brings nothing new, and the other way round.
+    assert seen == {((0,), (1,)): 2, ((0,), (2,)): 3, ((0,), ()): 1, ((1,), ()): 1, ((1,), (2,)): 1}
+
+
 def test_fit_is_the_same_each_time(spark, learned):
     docs, labels, _ = corpus(spark)
     again = X.fit(docs.repartition(3), labels, F.col("doc_id") % 3 != 2)

@@ -2,9 +2,10 @@
 
 Words and the beginnings and ends of words are a text's features; each counts once a text. The
 features are chosen, and logistic regression is fitted, on a bounded sample of the labelled rows
-(``SAMPLE_ROWS``, those with the smallest hashes). Sentences of that sample which name a group are
-written again with another group's name in its place, and the fit is penalised by the square of each
-change of score: a mention of a group must not move the score by itself.
+(``SAMPLE_ROWS``, those with the smallest hashes). Sentences of that sample which name a group, or tell
+a person's gender, are written again with another group's word in its place, and the fit is penalised by
+the square of each change of score: a mention of a group must not move the score by itself. A swap
+changes the features of two words only, so all swaps of the sample are counted by what they change.
 
 Sampling, counting features and gathering them are jobs on the executors; the driver holds the
 sample's few chosen features only. Scoring uses one broadcast table of ``MAX_FEATURES`` weights.
@@ -32,13 +33,12 @@ SAMPLE_ROWS = 24_000
 MAX_FEATURES = 4_000
 #: Texts of either label that a feature needs.
 LEAST_TEXTS = 6
-#: Sentences that name a group, in the fit, at most.
-MAX_SWAPS = 20_000
 #: Counted features a task holds before it hands them on.
 FLUSH = 250_000
 THRESHOLD = 0.3
 
-# Names of groups, by what may stand in another's place.
+# Names of groups, and words that tell a person's gender, by what may stand in another's
+# place; in English, German, French and Spanish.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists"),
@@ -50,6 +50,22 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "citizens", "natives"),
     ("deaf", "blind", "disabled", "autistic"),
     ("elderly", "young"),
+    ("he", "she", "they"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frau", "mann"),
+    ("frauen", "männer"),
+    ("er", "sie"),
+    ("ausländer", "flüchtlinge", "bürger"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femme", "homme"),
+    ("femmes", "hommes"),
+    ("il", "elle"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujer", "hombre"),
+    ("mujeres", "hombres"),
+    ("él", "ella"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
 )
 
 _WORDS = re.compile(r"\w+")
@@ -83,6 +99,8 @@ def swaps(text: str) -> Iterator[tuple[str, str]]:
 class Model:
     weights: dict[str, float]
     bias: float
+    #: Swapped sentences in the fit that could move the score.
+    swaps: int = 0
 
     def score(self, text: str | None, of_word: dict[str, dict[str, float]]) -> float:
         """``of_word`` keeps the weighted features of words that were seen."""
@@ -146,8 +164,8 @@ def _choose(counts: DataFrame, n0: int, n1: int) -> list[str]:
     return [r.f for r in kept.orderBy(F.desc(told), "f").limit(MAX_FEATURES).collect()]
 
 
-def _vectors(rows: DataFrame, at: dict[str, int]) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The sample's chosen features and labels, and those of its swapped sentences."""
+def _vectors(rows: DataFrame, at: dict[str, int]) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The sample's chosen features and labels, and which features its swaps take and bring, how often."""
     sent = rows.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,20 +177,26 @@ def _vectors(rows: DataFrame, at: dict[str, int]) -> tuple[list[np.ndarray], np.
         for b in batches:
             kind, one, two, labels, order = [], [], [], [], []
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, (x, y) in enumerate([(text, None), *swaps(text)]):
-                    u, v = vector(x), vector(y) if y is not None else []
-                    if k == 0 or u != v:
-                        kind.append(min(k, 1)), one.append(u), two.append(v), labels.append(label), order.append(xxhash.xxh64_intdigest(x.encode()) >> 1)
+                found = [(vector(text), [])]
+                for x, y in swaps(text):
+                    u, v = text_features(x), text_features(y)
+                    found.append((sorted(index[f] for f in u - v if f in index), sorted(index[f] for f in v - u if f in index)))
+                place = xxhash.xxh64_intdigest(text.encode()) >> 1
+                for k, (u, v) in enumerate(found):
+                    if k == 0 or u or v:
+                        kind.append(min(k, 1)), one.append(u), two.append(v), labels.append(label), order.append(place)
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *lists, pa.array(labels, pa.int32()), pa.array(order, pa.int64())], names=["kind", "one", "two", "label", "at"])
 
     out = rows.mapInArrow(released(run), "kind int, one array<int>, two array<int>, label int, at long")
     texts = out.where("kind = 0").select("one", "label", "at").toArrow().combine_chunks()
-    changed = out.where("kind = 1").orderBy(F.xxhash64("one", "two")).limit(MAX_SWAPS).select("one", "two").toArrow().combine_chunks()
+    # As many rows as there are terms to put in each other's place, times what a sentence may hold already.
+    changed = out.where("kind = 1").groupBy("one", "two").agg(F.count("*").alias("n")).orderBy("one", "two").toArrow().combine_chunks()
     # In an order of the texts' own, so that a fit gives the same weights each time.
     order = np.argsort(texts["at"].to_numpy(), kind="stable")
     one = _arrays(texts["one"])
-    return [one[i] for i in order], texts["label"].to_numpy()[order].astype(float), list(zip(_arrays(changed["one"]), _arrays(changed["two"]), strict=True))
+    swapped = list(zip(_arrays(changed["one"]), _arrays(changed["two"]), strict=True))
+    return [one[i] for i in order], texts["label"].to_numpy()[order].astype(float), swapped, changed["n"].to_numpy()
 
 
 def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
@@ -194,19 +218,21 @@ class _Rows:
         return np.bincount(self.col, x[self.row], minlength=self.d)
 
 
-def fit_vectors(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], d: int, l2: float = 6e-4, counterfactual: float = 4.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam: mean log loss + l2 |w|² + counterfactual · mean (change of logit)²."""
+def fit_vectors(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], d: int, l2: float = 6e-4, counterfactual: float = 4.0, steps: int = 400, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam: mean log loss + l2 |w|² + counterfactual · mean (change of logit)².
+    ``swapped``: the features before and after, each pair as often as ``times`` has it (else once)."""
     if not len(y) or y.min() == y.max():
         return np.zeros(d), -4.0 if not len(y) or y.max() == 0 else 4.0
     x, a, b = _Rows(rows, d), _Rows([s[0] for s in swapped], d), _Rows([s[1] for s in swapped], d)
+    share = np.ones(a.n) / max(1, a.n) if times is None else times / max(1, times.sum())
     w, bias = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
         wrong = 1 / (1 + np.exp(-(x.dot(w) + bias))) - y
         g = x.back(wrong) / x.n + 2 * l2 * w
         if a.n:
-            moved = a.dot(w) - b.dot(w)
-            g += 2 * counterfactual / a.n * (a.back(moved) - b.back(moved))
+            moved = share * (a.dot(w) - b.dot(w))
+            g += 2 * counterfactual * (a.back(moved) - b.back(moved))
         g = np.append(g, wrong.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -223,13 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Mod
     try:
         n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
         chosen = _choose(_count_features(sample), n.get(0, 0), n.get(1, 0)) if n else []
-        rows, y, swapped = _vectors(sample, {f: i for i, f in enumerate(chosen)})
+        rows, y, swapped, times = _vectors(sample, {f: i for i, f in enumerate(chosen)})
     finally:
         sample.unpersist()
-    w, bias = fit_vectors(rows, y, swapped, len(chosen))
+    w, bias = fit_vectors(rows, y, swapped, len(chosen), times=times)
     del rows, y, swapped
     release_memory()
-    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, bias)
+    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, bias, int(times.sum()))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
