@@ -32,11 +32,12 @@ NONE = np.iinfo(np.int64).min
 class KdTree:
     """Nodes in one array: leaves own ranges of the reordered vectors, and all have boxes."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, children: np.ndarray, ranges: np.ndarray):
-        self.ids, self.vectors, self.low, self.high, self.children, self.ranges = ids, vectors, low, high, children, ranges
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, children: np.ndarray, ranges: np.ndarray):
+        self.ids, self.rows, self.vectors, self.low, self.high, self.children, self.ranges = ids, rows, vectors, low, high, children, ranges
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> KdTree:
+    def build(cls, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> KdTree:
+        """``ids`` name vectors in results, ``rows`` tell vectors of the same id apart."""
         order, low, high, children, ranges = np.argsort(ids, kind="stable"), [], [], [], []
         todo = [(0, len(ids), -1, 0)]
         while todo:
@@ -50,24 +51,24 @@ class KdTree:
                 middle = (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, wide], middle, kind="introselect")]
                 todo += [(a, a + middle, node, 0), (a + middle, b, node, 1)]
-        return cls(ids[order], vectors[order], np.array(low), np.array(high), np.array(children), np.array(ranges))
+        return cls(ids[order], rows[order], vectors[order], np.array(low), np.array(high), np.array(children), np.array(ranges))
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=self.vectors, low=self.low, high=self.high, children=self.children, ranges=self.ranges)
+        np.savez(out, ids=self.ids, rows=self.rows, vectors=self.vectors, low=self.low, high=self.high, children=self.children, ranges=self.ranges)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> KdTree:
         return cls(**np.load(io.BytesIO(blob)))
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    def search(self, queries: np.ndarray, query_rows: np.ndarray, bounds: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
         """For each query its (score, -id) best k here, without itself and without what is below its
         bound (a score that k others are known to reach)."""
         # Products of a query with the nearer of a box's sides, summed: what no vector inside exceeds.
         most = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         out = []
-        for q, own, bound, top in zip(queries, query_ids, bounds, most, strict=True):
+        for q, own, bound, top in zip(queries, query_rows, bounds, most, strict=True):
             best: list[tuple[int, int]] = []
             floor, open_nodes = int(bound), [(-int(top[0]), 0)]
             while open_nodes:
@@ -82,7 +83,7 @@ class KdTree:
                     continue
                 a, b = self.ranges[node]
                 got = self.vectors[a:b] @ q
-                at = np.flatnonzero((got >= floor) & (self.ids[a:b] != own))
+                at = np.flatnonzero((got >= floor) & (self.rows[a:b] != own))
                 for s, i in zip(got[at].tolist(), self.ids[a:b][at].tolist(), strict=True):
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
@@ -95,12 +96,12 @@ class KdTree:
 
 
 def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(id long, v array<long>): floor(scale * x) of each component. Rows without id, vectors that are
-    null or empty, and vectors with null or non-finite components take no part."""
+    """(row long, id long, v array<long>): floor(scale * x) of each component, and a number for each row.
+    Rows without id, null vectors, and vectors with null or non-finite components take no part."""
     whole = F.col(embedding).cast("array<double>")
     fine = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & fine)
-    return rows.select(F.col(vec_id).cast("long").alias("id"), F.transform(whole, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & fine)
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("id"), F.transform(whole, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -109,22 +110,25 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of each query's k highest integer inner products with
-    all rows but those of its own id, ties to the smaller vec_id; fewer, if there are fewer rows.
+    """query_id, rank (from 1), vec_id and score of each query row's k highest integer inner products with
+    all rows but itself, ties to the smaller vec_id; fewer, if there are fewer rows.
 
-    ``is_query``: a condition over vec_id. Vectors must agree in length. A vec_id that comes twice
-    counts as often among the candidates and asks once (with the smallest of its vectors). Extra
-    columns are ignored. Products must fit in 64 bits.
+    ``is_query``: a condition over vec_id. A vec_id that comes twice asks twice, and each of its rows is a
+    candidate for the other. Components that a shorter vector lacks count as zero. Extra columns are
+    ignored. Products must fit in 64 bits.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2048)
     rows = written(integers(vectors, vec_id, embedding, scale))
-    n = rows.count()
+    n, shortest, length = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    length = max(1, length or 0)
+    if shortest != length:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.size("v"))))
     shards = max(1, -(-n // shard_vectors))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = KdTree.build(pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.int64))
+        tree = KdTree.build(pdf["id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.int64))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "payload": [tree.to_bytes()]})
 
     trees = written(dealt.groupBy("shard").applyInPandas(build, "shard long, payload binary"))
@@ -133,27 +137,28 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                ids, bounds = part.column(0).to_numpy(), part.column(2).to_numpy()
-                home = part.column(3)[0].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([ids.tobytes()]), pa.array([_matrix(part.column(1)).tobytes()]), pa.array([bounds.tobytes()])], names=["home", "ids", "v", "bounds"])
+                own, ids, bounds = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("row", "id", "bound"))
+                home, v = part.column(part.schema.get_field_index("home"))[0].as_py(), part.column(part.schema.get_field_index("v"))
+                blobs = [pa.array([x.tobytes()]) for x in (own, ids, _matrix(v), bounds)]
+                yield pa.RecordBatch.from_arrays([pa.array([home]), *blobs], names=["home", "own", "ids", "v", "bounds"])
 
     def ask(parts) -> Iterator[pa.RecordBatch]:
         now, tree = None, None
         for s, payload, b in parts:
             if s != now:
                 now, tree = s, KdTree.from_bytes(payload) if payload else None
-            out: list[tuple[int, int, int]] = []
-            for ids, v, bounds in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("ids", "v", "bounds")), strict=True):
-                own = np.frombuffer(ids, np.int64)
-                found = tree.search(np.frombuffer(v, np.int64).reshape(len(own), -1), own, np.frombuffer(bounds, np.int64), k) if tree else []
-                out += [(int(q), -i, s) for q, best in zip(own, found, strict=False) for s, i in best]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    block_schema, found_schema = "home long, ids binary, v binary, bounds binary", "query_id long, vec_id long, score long"
-    queries = rows.where(F.coalesce(is_query(F.col("id")), F.lit(False))).groupBy("id").agg(F.min("v").alias("v"))
+            out: list[tuple[int, int, int, int]] = []
+            for own, ids, v, bounds in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("own", "ids", "v", "bounds")), strict=True):
+                own, ids, bounds = (np.frombuffer(x, np.int64) for x in (own, ids, bounds))
+                found = tree.search(np.frombuffer(v, np.int64).reshape(len(own), -1), own, bounds, k) if tree else []
+                out += [(int(r), int(q), -i, s) for r, q, best in zip(own, ids, found, strict=False) for s, i in best]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
+
+    block_schema, found_schema = "home long, own binary, ids binary, v binary, bounds binary", "query_row long, query_id long, vec_id long, score long"
+    queries = rows.where(F.coalesce(is_query(F.col("id")), F.lit(False)))
     # Each query at home: the shard that its block is dealt to.
-    homes = queries.select("id", "v", F.lit(int(NONE)).alias("bound"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("home")).sortWithinPartitions("home")
+    homes = queries.select("row", "id", "v", F.lit(int(NONE)).alias("bound"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("home")).repartition("home").sortWithinPartitions("home")
     first = written(_by_home(homes, blocks, block_schema))
     tasks = max(shards, spark.sparkContext.defaultParallelism)
     copies = max(1, tasks // shards)
@@ -161,9 +166,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
     if shards == 1:
         return _ranked(at_home, k)
     # The k-th score found at home bounds the search of all other shards.
-    kth = at_home.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    bounded = homes.drop("bound").join(kth.where(F.col("n") >= k), F.col("id") == F.col("query_id"), "left")
-    second = bounded.select("id", "v", F.coalesce("least", F.lit(int(NONE))).alias("bound"), "home").repartition("home").sortWithinPartitions("home")
+    kth = at_home.groupBy("query_row").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    bounded = homes.drop("bound").join(kth.where(F.col("n") >= k), F.col("row") == F.col("query_row"), "left")
+    second = bounded.select("row", "id", "v", F.coalesce("least", F.lit(int(NONE))).alias("bound"), "home").repartition("home").sortWithinPartitions("home")
     others = written(_by_home(second, blocks, block_schema)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).where("shard != home").drop("home")
     elsewhere = stream_by_shard(trees, others, "shard", shards * copies, ask, found_schema, copies)
     return _ranked(at_home.unionByName(elsewhere), k)
@@ -174,7 +179,7 @@ def _by_home(queries: DataFrame, blocks, schema: str) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            homes = b.column(3).to_numpy()
+            homes = b.column(b.schema.get_field_index("home")).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(homes)) + 1).tolist(), len(homes)] if len(homes) else [0]
             for a, z in zip(cuts, cuts[1:], strict=False):
                 yield from blocks(iter([b.slice(a, z - a)]))
@@ -185,5 +190,5 @@ def _by_home(queries: DataFrame, blocks, schema: str) -> DataFrame:
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """A query has at most k rows from each shard; of these the k best."""
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id")))), 1, k)
-    rows = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
+    rows = found.groupBy("query_row", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
     return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
