@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
 
     component_id is the smallest doc_id that is reachable by links. Null and empty texts have
     fingerprint zero and link like any other; repeated rows each give a row; a row without doc_id
-    belongs to its fingerprint's component but bridges nothing (null if none of it has an id); extra columns are
+    links like any other (a component in which no row has an id has null for one); extra columns are
     ignored; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, shingle))
@@ -210,14 +210,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
 
 
 def _components_of(prints: DataFrame, linking: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint in ``prints`` (doc_id, fp)."""
+    """(fp, root, component_id) of each distinct fingerprint in ``prints`` (doc_id, fp): root is one
+    fingerprint of its component, component_id the smallest doc_id in it (null: none has one)."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    ids = nodes.where("rep is not null")
-    linked = linking(ids.select("fp"))
-    by = ids.select(F.col("fp").alias("a"), F.col("rep").alias("u"))
-    edges = linked.join(by, "a").join(by.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
-    roots = components(edges)
-    return nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(linking(nodes.select("fp")).toDF("u", "v"))
+    rooted = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    # A fingerprint alone is its own component: only those of several are grouped, and joined again.
+    several = rooted.where("fp != root").select("root").distinct()
+    ids = rooted.join(several, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"), F.lit(True).alias("many"))
+    return rooted.join(ids, "root", "left").select("fp", "root", F.when(F.col("many"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
 
 
 #: Rows whose places are broadcast to drop them, at most (8 bytes each).
@@ -226,9 +227,8 @@ BROADCAST_ROWS = 4_000_000
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, hot: int = HOT) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, and of
-    several with that id the first in the table. Rows whose fingerprint no row with an id has, and no
-    link reaches, are groups by fingerprint. ``docs`` must come in the same order each time, as rows of
-    files do; all columns pass through."""
+    several with that id the first in the table; rows without id come last. ``docs`` must come in the same
+    order each time, as rows of files do; all columns pass through. ``docs`` must not have a column __row."""
     return _keep_first(docs, lambda t: fingerprint(t, shingle), lambda prints, numbered: _components_of(prints, lambda fps: links(fps, most, hot)))
 
 
@@ -237,7 +237,7 @@ def keep_similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, least: float = SI
     their sets of shingles (a text of fewer words is one shingle). Texts without words are one group."""
 
     def linked(prints: DataFrame, numbered: DataFrame) -> DataFrame:
-        one = prints.where("doc_id is not null").groupBy("fp").agg(F.min("row").alias("row"))
+        one = prints.groupBy("fp").agg(F.min("row").alias("row"))
         texts = written(numbered.join(one, "row").select("fp", "text"))
         return _components_of(prints, lambda fps: similar_links(texts, shingle, least))
 
@@ -303,6 +303,8 @@ def similar_links(texts: DataFrame, shingle: int = WIDE_SHINGLE, least: float =
 
 
 def _keep_first(docs: DataFrame, print_of: Callable, components_of: Callable) -> DataFrame:
+    if "__row" in {c.lower() for c in docs.columns}:
+        raise ValueError("the input already has a column __row")
     small_batches(docs.sparkSession)
     pin_splits(docs.sparkSession)
 
@@ -313,8 +315,8 @@ def _keep_first(docs: DataFrame, print_of: Callable, components_of: Callable) ->
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = written(spread(numbered).mapInArrow(released(run), "row long, doc_id long, fp long"))
-    grouped = written(prints.join(components_of(prints, numbered.select("row", "text")), "fp").withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))))
-    first = grouped.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    grouped = written(prints.join(components_of(prints, numbered.select("row", "text")), "fp"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
     gone = written(grouped.select("row").join(first, "row", "left_anti")).withColumnRenamed("row", "__row")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
