@@ -36,6 +36,34 @@ def test_leaks_are_found_and_nothing_else(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_the_tables_leaks_are_those_of_a_brute_force(spark):
+    """Each item against each window of each document by longest common subsequence, with no gate before it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = [(r.item_id, D.words_of(r.text), D.answer_of(r.text)) for r in benchmark.collect() if D.words_of(r.text)]
+    want = set()
+    for r in docs.collect():
+        words = D.words_of(r.text)
+        for item_id, own, said in items:
+            size = 1 << max(3, (len(own) - 1).bit_length())
+            for start in range(0, max(1, len(words) - size), size):
+                window = words[max(0, start - size // 2) : min(start + 2 * size, len(words)) + size // 2]
+                if D.common_subsequence(own, window) >= 0.75 * len(own) and (not said or D.common_subsequence(said, window) >= 0.5 * len(said)):
+                    want.add((r.doc_id, item_id))
+    found = {(r.doc_id, r.item_id) for r in D.pairs(docs, benchmark).collect()}
+    assert found == want and want
+
+
+def test_an_item_of_any_length_is_one(spark):
+    r = random.Random(2)
+    long = [f"w{r.randint(0, 4000)}" for _ in range(5000)]
+    item = " ".join(long) + ". The answer is here."
+    half = " ".join(long[:2500])
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (2, half + " The answer is here."), (3, "none")], "doc_id long, text string")
+    found = D.pairs(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id) for x in found] == [(1, 7)]
+
+
 def lcs(a, b):
     rows = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):

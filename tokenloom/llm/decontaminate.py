@@ -8,8 +8,8 @@ word does not depend on it: any passage that has as many of an item's words, in
 leak must have. The longest common subsequence must then cover most of the item, and the item's answer
 must be there.
 
-The benchmark is taken in blocks of at most ``ITEMS_IN_BLOCK`` items and about ``WORDS_IN_BLOCK`` words,
-so what is broadcast is bounded (about 100 MB); every passage of every document is searched for each.
+The benchmark is taken in blocks of at most ``ITEMS_IN_BLOCK`` items, which end with the item that makes
+``WORDS_IN_BLOCK`` words full, so what is broadcast is bounded (about 100 MB, or one item); every passage of every document is searched for each.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ from ..operators.spread import spread
 from .common import input_partitions, released, small_batches, written
 
 ITEMS_IN_BLOCK, WORDS_IN_BLOCK = 5_000, 250_000
-#: Words of an item, at most; what is longer is taken as several items.
-ITEM_WORDS = 2_048
 RANK, OVERSAMPLING, POWER_ITERATIONS = 96, 16, 2
 #: Tasks that add up the passages' products, each with a matrix of its own to pass on, at least; one
 #: more for each INPUT_TASKS of the input.
@@ -148,13 +146,13 @@ def _items(benchmark: DataFrame, answer: str | None) -> Iterator[list[Item]]:
     held = 0
     for r in benchmark.select(*columns).where("item_id is not null and text is not null").toLocalIterator():
         words, said = words_of(r["text"]), words_of(r["answer"]) if r["answer"] else answer_of(r["text"])
-        for at in range(0, len(words), ITEM_WORDS):
-            last = at + ITEM_WORDS >= len(words)
-            block.append(Item(r["item_id"], words[at : at + ITEM_WORDS], said[:ITEM_WORDS] if last else []))
-            held += len(block[-1].words)
-            if len(block) == ITEMS_IN_BLOCK or held >= WORDS_IN_BLOCK:
-                yield block
-                block, held = [], 0
+        if not words:
+            continue
+        block.append(Item(r["item_id"], words, said))
+        held += len(words)
+        if len(block) == ITEMS_IN_BLOCK or held >= WORDS_IN_BLOCK:
+            yield block
+            block, held = [], 0
     if block:
         yield block
 
