@@ -122,6 +122,15 @@ def test_running_total_of_wide_rows(spark, adaptive):
         assert r.running_total == total
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_owning_root_both_ways(spark, monkeypatch, most):
+    monkeypatch.setattr(rel, "BROADCAST_ROOTS", most)
+    files = spark.createDataFrame([("/a/b/c.txt",), ("/a/x",), ("/ab/c",), ("/z",), ("/a/b/c.txt",), (None,)], "path string")
+    roots = spark.createDataFrame([("/a",), ("/a/b",), ("/a",), ("/z",), (None,)], "root string")
+    got = sorted(((r.path or "", r.root) for r in rel.owning_root(files, roots).collect()), key=str)
+    assert got == sorted([("/a/b/c.txt", "/a/b"), ("/a/b/c.txt", "/a/b"), ("/a/x", "/a"), ("/ab/c", None), ("/z", "/z"), ("", None)], key=str)
+
+
 def test_running_total_of_nothing(spark):
     assert rel.running_total(spark.createDataFrame([], "k int, tokens long, path string"), ["k"]).collect() == []
 

@@ -99,11 +99,22 @@ def dedupe_selection(selection: DataFrame, path: str = "path") -> DataFrame:
     return one.join(below, path, "left_anti")
 
 
+#: Roots that are sent to the files, at most; more are met by a join.
+BROADCAST_ROOTS = 1_000
+
+
 def owning_root(files: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
-    """``files`` with the longest root that holds them (null: none): equal joins on ancestors."""
-    steps = files.select(path).distinct().select(path, F.explode(F.concat(_ancestors(F.col(path)), F.array(F.col(path)))).alias("root"))
-    own = steps.join(roots.select("root").distinct(), "root").groupBy(path).agg(F.max_by("root", F.length("root")).alias("root"))
-    return files.join(own, path, "left")
+    """``files`` with the longest root that holds them (null: none). A few roots go to the files, which then
+    stay where they are; many meet the files' ancestors by equal joins."""
+    above = F.concat(_ancestors(F.col(path)), F.array(F.col(path)))
+    own = roots.select("root").where("root is not null").distinct()
+    if own.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS:
+        few = F.broadcast(own.agg(F.collect_list("root").alias("__roots")))  # one row of at most BROADCAST_ROOTS
+        longest = F.get(F.filter(F.reverse(above), lambda x: F.array_contains(F.col("__roots"), x)), F.lit(0))
+        return files.crossJoin(few).withColumn("root", longest).drop("__roots")
+    steps = files.select(path).distinct().select(path, F.explode(above).alias("root"))
+    found = steps.join(own, "root").groupBy(path).agg(F.max_by("root", F.length("root")).alias("root"))
+    return files.join(found, path, "left")
 
 
 def common_root(files: DataFrame, path: str = "path") -> DataFrame:
