@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, knn, license_scan, line_dedup, ngram_lm, simhash, toxicity, url_filter
+from . import bpe, chat, decontaminate, hard_negatives, knn, license_scan, line_dedup, ngram_lm, simhash, toxicity, url_filter, whitening
 from .common import table
 
 # The rules of op5, as (verdict, host, path).
@@ -143,9 +143,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(coalesce(list_sum(list_transform(range(1, least(len(a.e), len(c.e)) + 1), lambda i: a.e[i] * c.e[i])), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.r <> a.r),
+p AS (
+  SELECT r, vec_id AS positive_id, score AS positive_score, row_number() OVER w AS slot FROM s WHERE same
+  WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (r) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY r, slot ORDER BY score DESC, vec_id NULLS LAST) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_topk": op6_topk, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_leaks": op9_leaks, "op10_bpe": op10_bpe}
+    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_topk": op6_topk, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_leaks": op9_leaks, "op10_bpe": op10_bpe, "op12_negatives": op12_negatives, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urls": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": op8_sql()}
+    return {"op5_urls": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": op8_sql(), "op12_negatives": OP12_SQL}
