@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, hard_negatives, knn, license_scan, line_dedup, ngram_lm, simhash, toxicity, url_filter, whitening
+from . import bpe, chat, decontaminate, hard_negatives, knn, license_scan, line_dedup, ngram_lm, pii, simhash, toxicity, url_filter, whitening
 from .common import table
 
 # The rules of op5, as (verdict, host, path).
@@ -143,6 +143,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
@@ -170,7 +174,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_topk": op6_topk, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_leaks": op9_leaks, "op10_bpe": op10_bpe, "op12_negatives": op12_negatives, "op13_whitening": op13_whitening}
+    return {"op1_toxicity": op1_toxicity, "op2_lines": op2_lines, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_topk": op6_topk, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_leaks": op9_leaks, "op10_bpe": op10_bpe, "op11_pii": op11_pii, "op12_negatives": op12_negatives, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
