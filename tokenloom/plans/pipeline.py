@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import relations as rel
 from ..operators.count import count_tokens
-from ..sources.discover import discover, read_texts
+from ..sources.discover import discover, packed, read_texts
 from ..sources.vocabulary import VocabularyStore
 from . import registry as R
 
@@ -38,7 +38,7 @@ def count_selection(
     skip = F.when(F.col("outcome") == "unreadable", "unreadable").when(F.col("outcome") == "ignored-directory", "gitignored")
     classified = rel.classify(files, ignored=F.col("ignored")).withColumn("skip", F.coalesce(skip, "skip")).dropDuplicates(["path"])
     left_out = classified.where("skip is not null").select("path", "mtime", F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("boolean").alias("exact"), "skip")
-    work = classified.where("skip is null").select(F.lit(found.model_id).alias("model_id"), "path", "mtime")
+    work = classified.where("skip is null").select(F.lit(found.model_id).alias("model_id"), "path", "mtime", "size")
     known = None
     if buffers is not None:
         opened = buffers.select("path", "text").join(work, "path")
@@ -46,7 +46,7 @@ def count_selection(
     if cache is not None:
         known = rel.cache_hits(work, cache).select("path", "mtime", F.col("count").alias("tokens"), "exact", F.lit(None).cast("string").alias("skip"))
         work = rel.cache_misses(work, cache)
-    read = read_texts(work.select("path", "mtime"))
+    read = read_texts(packed(work.select("path", "mtime", "size"))).drop("size")
     unread = read.where("skip is not null").select("path", "mtime", F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("boolean").alias("exact"), "skip")
     texts = read.where("skip is null").select("path", "mtime", "text")
     if buffers is not None:
