@@ -126,23 +126,3 @@ def test_bursts(spark):
     rows = [(1, f"2024-01-01 00:00:{s:06.3f}") for s in (0, 1.5, 3.5, 5.501, 20)]
     df = spark.createDataFrame(rows, "user int, t string").selectExpr("user", "cast(t as timestamp) as ts")
     assert sorted(r.events for r in changes.debounce(df, ["user"]).collect()) == [1, 1, 3]
-
-
-def test_changes_keep_the_cache_up(spark, tmp_path):
-    cache = changes.CountCache(spark, str(tmp_path / "cache"))
-    assert cache.put(spark.createDataFrame([("m", "/a", 1, 5, True), ("m", "/b", 1, 6, True), ("n", "/a", 1, 7, True)], changes.CACHE), 0)
-    assert not cache.put(spark.createDataFrame([], changes.CACHE), 0)  # an old version changes nothing
-    feed = tmp_path / "feed"
-    feed.mkdir()
-    (feed / "1.json").write_text('{"ts":"2024-01-01T00:00:00Z","path":"/a","op":"save"}\n{"ts":"2024-01-01T00:00:01Z","path":"/c","op":"create"}\n')
-    changes.keep_up(changes.read_changes(spark, str(feed)), cache, str(tmp_path / "cp")).awaitTermination()
-    assert [(r.model_id, r.path) for r in cache.read().collect()] == [("m", "/b")]
-    assert cache.put(spark.createDataFrame([("m", "/b", 2, 9, False), ("m", "/a", 2, 8, True)], changes.CACHE), 50)
-    shown = lambda: sorted((r.model_id, r.path, r.mtime, r["count"], r.exact) for r in cache.read().collect())
-    want = [("m", "/a", 2, 8, True), ("m", "/b", 2, 9, False)]
-    assert shown() == want and cache.compact(60) and shown() == want
-    # A version that did not end is not read.
-    (tmp_path / "cache" / "version=70").mkdir()
-    assert cache.version() == 60 and shown() == want
-    assert cache.clear(99) and cache.read().count() == 0
-    assert cache.put(spark.createDataFrame([("m", "/b", 3, 1, True)], changes.CACHE), 100) and shown() == [("m", "/b", 3, 1, True)]

@@ -1,4 +1,4 @@
-"""Change feeds: debounced recounts, and a count cache kept up by micro-batches."""
+"""Change feeds, as tables and streams. What keeps state is in ``live``."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 CHANGES = "ts timestamp, path string, op string"
-CACHE = "model_id string, path string, mtime bigint, count bigint, exact boolean"
 #: Quiet time after which a status, or a whole project, is counted anew.
 STATUS_GAP, PROJECT_GAP = "300 milliseconds", "2 seconds"
 
 
 def debounce(events: DataFrame, keys: list[str], gap: str = PROJECT_GAP, ts: str = "ts") -> DataFrame:
-    """One row for each burst of events: those no further apart than the gap, which fires once after
-    it. Works on batches and, behind a watermark, on streams."""
+    """One row for each burst of a table's events: those no further apart than the gap, which fires once after
+    it. Works on streams too, behind a watermark, which only later events move: ``live.debounced`` needs none."""
     rows = events.where(F.col(ts).isNotNull()).groupBy(*keys, F.session_window(ts, gap).alias("w"))
     return rows.agg(F.count("*").alias("events")).select(*keys, F.col("w.start").alias("first_ts"), F.col("w.end").alias("fires_at"), "events")
 
@@ -28,79 +27,3 @@ def latest(changes: DataFrame) -> DataFrame:
     """The last change of each path."""
     order = W.partitionBy("path").orderBy(F.desc("ts"), "op")
     return changes.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-
-
-class CountCache:
-    """Counts as a log of changes, a folder for each version, on any storage that Spark reads.
-
-    A version holds what was counted, and the paths whose counts it drops (for every model); one without a
-    path drops all that is older. Nothing that is there is written again but by ``compact``. A version
-    counts once it is whole, so a batch that runs again, or an older one that comes late, changes nothing.
-    """
-
-    _LOG = f"{CACHE}, dropped boolean"
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        storage = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not storage.exists(path):
-            return []
-        names = [(x.getPath(), x.getPath().getName()) for x in storage.listStatus(path)]
-        whole = [n for at, n in names if n.startswith("version=") and storage.exists(self.spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))]
-        return sorted(int(n.removeprefix("version=")) for n in whole)
-
-    def version(self) -> int:
-        return max(self._versions(), default=-1)
-
-    def read(self) -> DataFrame:
-        """The last count of each model and path that nothing later drops."""
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], CACHE)
-        paths = [f"{self.folder}/version={v}" for v in versions]
-        log = self.spark.read.schema(f"{self._LOG}, version int").option("basePath", self.folder).parquet(*paths)
-        drops = log.where("dropped").groupBy("path").agg(F.max("version").alias("until"))
-        everything = F.broadcast(drops.where("path is null").agg(F.coalesce(F.max("until"), F.lit(-1)).alias("all_until")))  # one row
-        counts = log.where("not dropped").crossJoin(everything).where("version >= all_until").join(drops.where("path is not null"), "path", "left").where("until is null or version >= until")
-        last = F.max_by(F.struct("mtime", "count", "exact"), "version").alias("last")
-        return counts.groupBy("model_id", "path").agg(last).select("model_id", "path", "last.mtime", "last.count", "last.exact")
-
-    def _append(self, rows: DataFrame, version: int) -> bool:
-        if version <= self.version():
-            return False
-        rows.write.mode("overwrite").parquet(f"{self.folder}/version={version}")
-        return True
-
-    def _drops(self, paths: DataFrame) -> DataFrame:
-        nothing = {c: F.lit(None).cast(t) for c, t in (x.split(" ") for x in CACHE.split(", ")) if c != "path"}
-        return paths.select("path").distinct().select(*[nothing.get(c, F.col("path")).alias(c) for c in ("model_id", "path", "mtime", "count", "exact")], F.lit(True).alias("dropped"))
-
-    def forget(self, changed: DataFrame, version: int) -> bool:
-        """Drop what a save, deletion or renaming made stale; new files have nothing to drop."""
-        return self._append(self._drops(latest(changed).where(F.col("op").isin("save", "delete", "rename")).where("path is not null")), version)
-
-    def put(self, counts: DataFrame, version: int) -> bool:
-        return self._append(counts.select("model_id", "path", "mtime", "count", "exact", F.lit(False).alias("dropped")), version)
-
-    def clear(self, version: int) -> bool:
-        """After another model, other rules or another vocabulary."""
-        return self._append(self._drops(self.spark.createDataFrame([(None,)], "path string")), version)
-
-    def compact(self, version: int) -> bool:
-        """What the cache holds as one version that drops all that is older. Older versions may be
-        deleted once no reader has them open."""
-        rows = self.read().withColumn("dropped", F.lit(False))
-        return self._append(rows.unionByName(self._drops(self.spark.createDataFrame([(None,)], "path string"))), version)
-
-
-def keep_up(changes: DataFrame, cache: CountCache, checkpoint: str):
-    """A query that drops changed paths from the cache, batch by batch."""
-    base = cache.version() + 1
-
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        cache.forget(rows, base + batch_id)
-
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
