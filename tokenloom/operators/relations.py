@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import columns as C
 from ..plans import registry as R
 from ..storage import written
+from .containment import innermost_root, outermost
 
 
 def by_locale(label: str | Column) -> Column:
@@ -91,30 +92,25 @@ def _ancestors(path: Column) -> Column:
 
 
 def dedupe_selection(selection: DataFrame, path: str = "path") -> DataFrame:
-    """Distinct paths that are not below another one: an anti join on exploded ancestors, so no path
-    is compared with all others."""
-    one = selection.select(path).distinct()
-    steps = one.select(path, F.explode(_ancestors(F.col(path))).alias("above"))
-    below = steps.join(one.select(F.col(path).alias("above")), "above", "left_semi").select(path).distinct()
-    return one.join(below, path, "left_anti")
+    """Distinct paths that are not below another one, by a sweep over sorted paths."""
+    return outermost(selection, path)
 
 
-#: Roots that are sent to the files, at most; more are met by a join.
+#: Roots that are sent to the files, at most; more are met by a sweep.
 BROADCAST_ROOTS = 1_000
 
 
-def owning_root(files: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
+def owning_root(files: DataFrame, roots: DataFrame, path: str = "path", few: int | None = None) -> DataFrame:
     """``files`` with the longest root that holds them (null: none). A few roots go to the files, which then
-    stay where they are; many meet the files' ancestors by equal joins."""
-    above = F.concat(_ancestors(F.col(path)), F.array(F.col(path)))
+    stay where they are; many are sorted with the files, and met by a sweep."""
+    few = BROADCAST_ROOTS if few is None else few
     own = roots.select("root").where("root is not null").distinct()
-    if own.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS:
-        few = F.broadcast(own.agg(F.collect_list("root").alias("__roots")))  # one row of at most BROADCAST_ROOTS
-        longest = F.get(F.filter(F.reverse(above), lambda x: F.array_contains(F.col("__roots"), x)), F.lit(0))
-        return files.crossJoin(few).withColumn("root", longest).drop("__roots")
-    steps = files.select(path).distinct().select(path, F.explode(above).alias("root"))
-    found = steps.join(own, "root").groupBy(path).agg(F.max_by("root", F.length("root")).alias("root"))
-    return files.join(found, path, "left")
+    if own.limit(few + 1).count() > few:
+        return innermost_root(files, own, path)
+    above = F.concat(_ancestors(F.col(path)), F.array(F.col(path)))
+    sent = F.broadcast(own.agg(F.collect_list("root").alias("__roots")))  # one row of at most ``few``
+    longest = F.get(F.filter(F.reverse(above), lambda x: F.array_contains(F.col("__roots"), x)), F.lit(0))
+    return files.crossJoin(sent).withColumn("root", longest).drop("__roots")
 
 
 def common_root(files: DataFrame, path: str = "path") -> DataFrame:
