@@ -223,33 +223,33 @@ def mine(
     by_place = F.array(*[F.lit(s) for s in numbers])
     anchors = rows.where(F.coalesce(is_anchor(F.col("id")), F.lit(False)))
 
-    def reach(blocks: DataFrame, but_home: bool) -> DataFrame:
-        """A row for each shard that is long enough for one of a block's anchors: the first ones."""
+    def reach(blocks: DataFrame) -> DataFrame:
+        """A row for each shard but home that is long enough for one of a block's anchors: of all shards the first ones."""
         many = F.size(F.filter(F.array(*[F.lit(x) for x in longest]), lambda x: x >= F.col("need")))
-        sent = blocks.where(many > 0).withColumn("at", F.explode(F.sequence(F.lit(0), many - 1)))
-        sent = sent.where(F.col("at") != F.col("home")) if but_home else sent
+        sent = blocks.where(many > 0).withColumn("at", F.explode(F.sequence(F.lit(0), many - 1))).where(F.col("at") != F.col("home"))
         return sent.select(F.get(by_place, F.col("at")).alias("shard"), "body")
 
-    # Positives: at a shard of long vectors first, then wherever the k-th score found there can be beaten.
+    def search(asking: DataFrame, same: bool, k: int) -> DataFrame:
+        """The k best in each of an anchor's windows: at one shard of long vectors first, then wherever the k-th score
+        found there can be beaten."""
+        homes = asking.withColumn("home", F.pmod(F.xxhash64("row"), F.lit(max(1, shards // 8))))
+        first = _blocks(homes, "home").select(F.get(by_place, F.col("home").cast("int")).alias("shard"), "body")
+        at_home = written(_ask(trees, first, shards * copies, copies, same, k))
+        if shards == 1:
+            return _best(at_home, k)
+        kth = at_home.groupBy("anchor", "slot").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+        kth = kth.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("slot", "least"))).alias("least"))  # a window each
+        raised = F.transform("windows", lambda w: F.struct(w["slot"].alias("slot"), F.greatest(w["low"], F.col("least")[w["slot"]]).alias("low"), w["high"].alias("high")))
+        bounded = homes.join(kth, F.col("row") == F.col("anchor"), "left").withColumn("windows", F.when(F.col("least").isNull(), F.col("windows")).otherwise(raised)).drop("anchor", "least")
+        return _best(at_home.unionByName(_ask(trees, reach(_blocks(bounded, "home")), shards * copies, copies, same, k)), k)
+
     whole = F.array(F.struct(F.lit(0).alias("slot"), F.lit(LOWEST).alias("low"), F.lit(HIGHEST).alias("high")))
-    homes = anchors.withColumn("windows", whole).withColumn("home", F.pmod(F.xxhash64("row"), F.lit(max(1, shards // 8))))
-    first = written(_blocks(homes, "home"))
-    at_home = written(_ask(trees, first.select(F.get(by_place, F.col("home").cast("int")).alias("shard"), "body"), shards * copies, copies, True, positives))
-    found = at_home
-    if shards > 1:
-        kth = at_home.groupBy("anchor").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= positives)
-        narrowed = F.array(F.struct(F.lit(0).alias("slot"), F.coalesce("least", F.lit(LOWEST)).alias("low"), F.lit(HIGHEST).alias("high")))
-        bounded = homes.join(kth, F.col("row") == F.col("anchor"), "left").withColumn("windows", narrowed).drop("anchor", "least", "n")
-        second = _blocks(bounded, "home")
-        found = at_home.unionByName(_ask(trees, reach(second, True), shards * copies, copies, True, positives))
-    chosen = written(_best(found, positives).drop("slot").withColumnRenamed("rank", "slot").withColumnsRenamed({"id": "positive_id", "score": "positive_score"}))
+    chosen = written(search(anchors.withColumn("windows", whole), True, positives).drop("slot").withColumnRenamed("rank", "slot").withColumnsRenamed({"id": "positive_id", "score": "positive_score"}))
     # Negatives: a window for each positive, from ``low`` to ``high`` percent of its score.
     p = F.col("positive_score").cast("decimal(38,0)")
     window = F.struct(F.col("slot"), F.ceil(p * low / 100).cast("long").alias("low"), F.floor(p * high / 100).cast("long").alias("high"))
     windows = chosen.where("positive_score >= 0").groupBy("anchor").agg(F.array_sort(F.collect_list(window)).alias("windows"))  # at most ``positives`` each
-    asking = anchors.join(windows, F.col("row") == F.col("anchor")).drop("anchor").withColumn("home", F.pmod(F.xxhash64("row"), F.lit(max(1, n // (100 * BLOCK)))))
-    blocks = _blocks(asking, "home")
-    hard = _best(_ask(trees, reach(blocks, False), shards * copies, copies, False, negatives), negatives)
+    hard = search(anchors.join(windows, F.col("row") == F.col("anchor")).drop("anchor"), False, negatives)
     named = hard.join(chosen, ["anchor", "slot"]).join(anchors.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id")), "anchor")
     return named.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
