@@ -6,6 +6,7 @@ language and id, with extensions in turn.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from ..operators import count as counting
 from ..operators import relations as rel
 from ..operators import tokenizers as T
 from ..operators.spread import spread
-from ..sources.ignore import IgnoreRules, parse_rules
-from ..streaming import changes
+from ..sources.ignore import IgnoreRules, parse_rules, with_ignored
+from ..storage import shared_dir
+from ..streaming import changes, live
 from . import registry as R
 
 EXTENSIONS = ["ts", "py", "md", "json", "wibble", "rs", "go", "TXT", "yaml", "png", "svg", "tsx", "h", "sh"]
@@ -72,6 +74,13 @@ def _shown(n: str) -> str:
     return f"CASE WHEN {n} >= 1000000 THEN {big} WHEN {n} >= 1000 THEN {small} ELSE CAST({n} AS VARCHAR) END"
 
 
+def _fixed(x: str, digits: int) -> str:
+    """A double to so many digits; printf rounds exact ties to even, so those (odd multiples of a power of two) get a
+    little more."""
+    half = 2 ** (digits + 1)
+    return f"printf('%.{digits}f', {x} + CASE WHEN {x} * {half} = floor({x} * {half}) AND CAST(floor({x} * {half}) AS BIGINT) % 2 = 1 THEN {0.1 / 10**digits} ELSE 0 END)"
+
+
 def _slices(groups: str, most: int = R.MAX_SLICES) -> str:
     """SQL of ranked slices of a query with label, tokens, files."""
     return f"""
@@ -270,8 +279,8 @@ def sorted_listing(spark, sf_dir):
 
 
 @query(
-    f"WITH {FILES}, t AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, CAST(max(tokens) AS DOUBLE) AS widest FROM files) SELECT path, printf('%.1f', tokens / total * 100) || '%' AS table_share, "
-    "printf('%.2f', tokens / widest * 100) AS bar_width, CASE WHEN tokens / widest >= 0.1 THEN printf('%.0f', tokens / widest * 100) ELSE printf('%.1f', tokens / widest * 100) END || '%' AS bar_share FROM files, t"
+    f"WITH {FILES}, t AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, CAST(max(tokens) AS DOUBLE) AS widest FROM files) SELECT path, {_fixed('(tokens / total * 100)', 1)} || '%' AS table_share, "
+    f"{_fixed('(tokens / widest * 100)', 2)} AS bar_width, CASE WHEN tokens / widest >= 0.1 THEN {_fixed('(tokens / widest * 100)', 0)} ELSE {_fixed('(tokens / widest * 100)', 1)} END || '%' AS bar_share FROM files, t"
 )
 def table_shares(spark, sf_dir):
     rows = files(spark, sf_dir).select("path", "tokens")
@@ -449,6 +458,35 @@ def owning_root(spark, sf_dir):
     return rel.owning_root(files(spark, sf_dir).select("path"), roots).select("path", "root")
 
 
+_MANY_ROOTS = """many(root) AS (
+  SELECT path FROM files WHERE doc_id % 4 = 0 UNION SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM files WHERE doc_id % 10 = 1 UNION SELECT '/repo/src1' UNION SELECT '/repo/src')"""
+
+
+@query(f"WITH {FILES}, {_MANY_ROOTS} SELECT path, (SELECT max_by(root, length(root)) FROM many WHERE path = root OR starts_with(path, root || '/')) AS root FROM files")
+def owning_root_of_many(spark, sf_dir):
+    """Every fourth file, and many folders, are roots: they grow with the files, so these are swept."""
+    rows = files(spark, sf_dir).select("doc_id", "path")
+    folders = rows.where("doc_id % 10 = 1").select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("root"))
+    more = spark.createDataFrame([("/repo/src1",), ("/repo/src",)], "root string")
+    roots = rows.where("doc_id % 4 = 0").select(F.col("path").alias("root")).unionByName(folders).unionByName(more)
+    return rel.owning_root(rows.select("path"), roots, few=0)
+
+
+@query(
+    f"WITH {FILES}, n AS (SELECT f.path, lang, regexp_extract(f.path, '[^/]*$') AS name, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS n FROM files f JOIN documents USING (doc_id)) "
+    "SELECT path, (n % 3 = 0 AND lang = 'fr') OR (starts_with(name, 'doc_' || n % 10) AND NOT starts_with(name, 'doc_' || n % 10 || n % 10)) AS ignored FROM n"
+)
+def ignored_by_root(spark, sf_dir):
+    """Each source is a root with rules of its own."""
+    rows = files(spark, sf_dir).select("path", F.regexp_extract("path", "^(/repo/[^/]*)/", 1).alias("root"), F.regexp_extract("path", "^/repo/[^/]*/(.*)$", 1).alias("relative"))
+    digit = F.concat(F.lit(""), (F.regexp_extract("source", "[0-9]+", 0).cast("long") % 10).cast("string"))
+    third = F.regexp_extract("source", "[0-9]+", 0).cast("long") % 3 == 0
+    rules = table(spark, sf_dir, "documents").select("source").distinct().select(
+        F.concat(F.lit("/repo/"), "source").alias("root"), F.concat(F.lit("doc_"), digit, F.lit("*\n!doc_"), digit, digit, F.lit("*\n"), F.when(third, "fr/\n").otherwise("# nothing more\n")).alias("rules")
+    )
+    return with_ignored(rows, rules).select("path", "ignored")
+
+
 @query(f"WITH {FILES}, q AS (SELECT '/repo/src1/en/doc_' || doc_id || '.py' AS path FROM documents) SELECT path FROM q WHERE path IN (SELECT path FROM files)")
 def openable_paths(spark, sf_dir):
     asked = table(spark, sf_dir, "documents").select(F.concat(F.lit("/repo/src1/en/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
@@ -537,7 +575,7 @@ def status_lines(spark, sf_dir):
 
 @query(
     f"WITH {FILES}, {MODELS} SELECT path, model_id, '**' || regexp_replace(path, '^.*/', '') || '**' || chr(10) || chr(10) || 'Model: ' || label || chr(10) || 'Context: ' || "
-    f"printf('%.1f', tokens / CAST(context_limit AS DOUBLE) * 100) || '% of ' || {_shown('context_limit')} || CASE WHEN tokens / CAST(context_limit AS DOUBLE) * 100 >= 100 THEN chr(10) || chr(10) || 'Over the context limit.' "
+    f"{_fixed('(tokens / CAST(context_limit AS DOUBLE) * 100)', 1)} || '% of ' || {_shown('context_limit')} || CASE WHEN tokens / CAST(context_limit AS DOUBLE) * 100 >= 100 THEN chr(10) || chr(10) || 'Over the context limit.' "
     "WHEN tokens / CAST(context_limit AS DOUBLE) * 100 >= 80 THEN chr(10) || chr(10) || 'Approaching the context limit.' ELSE '' END || chr(10) || chr(10) || 'Estimated. ' || "
     "CASE WHEN kind IN ('hf', 'tiktokenModel') THEN 'Load the model''s tokenizer for an exact count.' ELSE provider || ' does not publish a tokenizer for this model.' END AS tooltip "
     "FROM files CROSS JOIN models WHERE model_id IN ('claude-opus-5', 'kimi-k3', 'gpt-3.5-turbo')"
@@ -559,6 +597,47 @@ def debounce_sessions(spark, sf_dir):
     return bursts.select("user_id", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("fires_at").cast("timestamp")).alias("fires_us"), "events")
 
 
+def _streamed(spark, rows: DataFrame, fields: str) -> DataFrame:
+    """What a stream gives until its source is read up, as a table."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    live.start(rows, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(fields).parquet(f"{at}/out")
+
+
+@query(
+    f"WITH e AS (SELECT event_type AS folder, max(event_id) AS version FROM events WHERE ts IS NOT NULL GROUP BY event_type, user_id), "
+    f"d AS (SELECT doc_id, text FROM documents), c AS (SELECT folder, CAST(ceil({_utf16('text')} / CAST(2.5 AS DOUBLE)) AS BIGINT) AS t, coalesce(text, '') = '' AS exact FROM e JOIN d ON doc_id = version % (SELECT count(*) FROM documents) WHERE version % 5 <> 0) "
+    "SELECT folder, count(*) AS files, CAST(sum(t) AS BIGINT) AS tokens, bool_and(exact) AS exact FROM c GROUP BY folder"
+)
+def live_totals(spark, sf_dir):
+    """Events change files (one for each type and user): each fifth deletes its file, the others save a document there.
+    They come in four batches, dealt by hash, so that many are late; totals are sums of what each batch took off and
+    put on."""
+    events, docs = table(spark, sf_dir, "events").where("ts is not null").select("event_id", "event_type", "user_id"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    feed, many = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}", docs.count()
+    events.repartition(4, "event_id").write.option("maxRecordsPerFile", 0).parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    saved = stream.withColumn("doc_id", F.col("event_id") % many).join(docs, "doc_id")
+    text = F.when(F.col("event_id") % 5 != 0, F.coalesce("text", F.lit("")))
+    texts = saved.select(F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("version"), text.alias("text"))
+    # The model whose ratio is the one of all these queries.
+    model = next(m for m in R.MODELS if m.ratio == RATIO)
+    return live.totals(_streamed(spark, live.deltas(live.counts_of(texts, model)), live.DELTA), "folder")
+
+
+@query(
+    "WITH r AS (SELECT user_id, event_id // 7 AS generation, CASE WHEN event_type <> 'view' THEN event_type || ':' || event_id END AS result FROM events), "
+    "n AS (SELECT user_id, max(generation) AS generation FROM r GROUP BY user_id) SELECT user_id, generation, min(result) AS result FROM r JOIN n USING (user_id, generation) WHERE result IS NOT NULL GROUP BY user_id, generation"
+)
+def current_results(spark, sf_dir):
+    """Views ask for work, all else are results of it; only results of each user's newest request come through."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a stream of one file needs a pattern
+    result = F.when(F.col("event_type") != "view", F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")))
+    rows = stream.select("user_id", F.expr("event_id div 7").alias("generation"), result.alias("result"))
+    return _streamed(spark, live.current(rows, ["user_id"]), f"user_id {dict(stream.dtypes)['user_id']}, generation bigint, result string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
