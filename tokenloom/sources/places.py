@@ -7,11 +7,14 @@ themselves: what they get is the path and these functions.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import shutil
 import stat
+import uuid
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 from pyarrow import fs
 
@@ -70,6 +73,20 @@ class Local:
         with open(path, "rb") as f:
             return f.read(most)
 
+    def create(self, path: str) -> BinaryIO:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
+
+    def put(self, path: str, body: bytes) -> None:
+        """A whole file in one step."""
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with self.create(part) as f:
+            f.write(body)
+        os.replace(part, path)
+
+    def remove(self, directory: str) -> None:
+        shutil.rmtree(directory, ignore_errors=True)
+
 
 class Arrow:
     """A storage without links, by URI; it knows its paths without what stands in front (``scheme://``, and a host)."""
@@ -105,6 +122,20 @@ class Arrow:
         with self.storage.open_input_stream(self._inner(path)) as f:
             return f.read(most)
 
+    def create(self, path: str) -> BinaryIO:
+        inner = self._inner(path)
+        self.storage.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        return self.storage.open_output_stream(inner)
+
+    def put(self, path: str, body: bytes) -> None:
+        """A whole file in one step, as object stores write them."""
+        with self.create(path) as f:
+            f.write(body)
+
+    def remove(self, directory: str) -> None:
+        with contextlib.suppress(OSError):
+            self.storage.delete_dir(self._inner(directory))
+
 
 class Places:
     """Opens each storage once."""
