@@ -124,3 +124,62 @@ def test_the_projection_is_fitted_on_every_distinct_text(spark):
     number = {b"word3": 0, b"other8999": 1}
     got = sorted(tuple(sorted(x.ids)) for x in D._passages(docs, number, 3).collect())
     assert got == sorted(tuple(own) for i in range(9000) if (own := [0] * ((i % 7 == 3) + (i % 5 == 3)) + [1] * (i == 8999)))
+
+
+def paraphrased(seed=7, n=40):
+    """Items in documents that say a quarter to a half of their words otherwise, or elsewhere, and keep the answer."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(4000)]
+    said = lambda k: r.choices(vocabulary, [1 / (i + 5) for i in range(4000)], k=k)
+    items, docs, want = [], [], set()
+    for i in range(n):
+        body, answer = r.sample(vocabulary, r.randint(18, 50)), r.sample(vocabulary, r.randint(4, 8))
+        items.append((i, f"{' '.join(body)}. {' '.join(answer)}."))
+        told = list(body)
+        for at in r.sample(range(len(body)), len(body) * r.choice([25, 35, 50]) // 100):
+            if i % 3 == 0 and at + 2 < len(told):  # moved by a few places
+                told.insert(at + r.randint(1, 2), told.pop(at))
+            else:
+                told[at] = r.choice(vocabulary)
+        docs.append((i, " ".join([*said(r.randint(0, 200)), *told, *answer, *said(r.randint(0, 200))])))
+        want.add((i, i))
+    docs += [(1000 + i, " ".join(said(300))) for i in range(100)]
+    return items, docs, want
+
+
+def test_paraphrases_are_found_by_cosine(spark, monkeypatch):
+    items, docs, want = paraphrased()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in D.pairs(d, b).collect()}
+    assert len(want & set(found)) >= 0.9 * len(want) and not set(found) - want
+    index = D.build(d, next(D._items(b, None)))
+    latent = {index.items[i].item_id for c in index.classes if c.vectors is not None for i in c.members}
+    assert len(latent) >= 0.9 * len(items)  # the projection finds them, not whole vectors
+    # Without directions of any use, what they alone can find is lost.
+    monkeypatch.setattr(D, "randomised_svd", lambda passages, own, weight, rank=0, times_own=1.0: np.eye(len(weight), 1)[:, :0].reshape(len(weight), 0))
+    monkeypatch.setattr(D, "MIN_KEPT", -1.0)
+    assert not {(r.doc_id, r.item_id) for r in D.pairs(d, b).collect()} & want
+
+
+def test_recall_with_thousands_of_items(spark):
+    """Five thousand items, far more than directions: every leak by brute force over all pairs that share enough words."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(6000)]
+    items = [(i, " ".join(r.choices(vocabulary[: 300 if i % 4 == 0 else 6000], k=r.randint(10, 45)))) for i in range(5000)]
+    docs = []
+    for i in range(150):
+        words = items[r.randrange(5000)][1].split(" ")
+        for _ in range(len(words) // r.choice([5, 8, 100])):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        docs.append((i, " ".join([*r.choices(vocabulary, k=r.randint(0, 60)), *words, *r.choices(vocabulary, k=r.randint(0, 60))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in D.pairs(d, b).collect()}
+    own = [(k, D.words_of(t), set(D.words_of(t))) for k, t in items]
+    want = set()
+    for i, text in docs:
+        words = D.words_of(text)
+        there = set(words)
+        for k, w, distinct in own:
+            if len(distinct & there) >= 0.5 * len(distinct) and D.common_subsequence(w, words) >= 0.75 * len(w):
+                want.add((i, k))
+    assert len(want) > 100 and len(want & found) >= 0.9 * len(want)

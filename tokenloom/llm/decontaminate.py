@@ -3,13 +3,17 @@
 Documents are cut into overlapping passages, as long as the benchmark items they may hold. Passages
 and items are TF-IDF vectors over the benchmark's words (document frequencies are counted over all
 documents), projected on the leading singular vectors of such vectors, which a distributed randomised
-SVD finds from the items and the passages of all distinct texts; their cosine goes with each leak. What is compared word by
-word does not depend on it: any passage that has as many of an item's words, in whatever order, as a
-leak must have. The longest common subsequence must then cover most of the item, and the item's answer
-must be there.
+SVD finds from the items and the passages of all distinct texts. A passage whose projection is near an
+item's by cosine, and that has enough of the item's weight, is compared with it word by word: the longest common
+subsequence must cover most of the item, and the item's answer must be there. A passage that is nearer still may
+have fewer of the words, if it keeps the answer: a paraphrase.
+
+Some items have little of their length in any few directions (more items than directions, or words of their own). For
+those, and only those, the cosine is that of the whole vectors, by the list of items that each word has; ``Index.kept``
+tells which they are.
 
 The benchmark is taken in blocks of at most ``ITEMS_IN_BLOCK`` items, which end with the item that makes
-``WORDS_IN_BLOCK`` words full, so what is broadcast is bounded (about 100 MB, or one item); every passage of every document is searched for each.
+``WORDS_IN_BLOCK`` words full, so what is broadcast is bounded (about 250 MB, or one item); every passage of every document is searched for each.
 """
 
 from __future__ import annotations
@@ -31,15 +35,25 @@ from ..operators.spread import spread
 from .common import input_partitions, released, small_batches, written
 
 ITEMS_IN_BLOCK, WORDS_IN_BLOCK = 5_000, 250_000
-RANK, OVERSAMPLING, POWER_ITERATIONS = 96, 16, 2
+#: Directions: as many as there are items, but between these.
+RANK, MOST_RANK, OVERSAMPLING, POWER_ITERATIONS = 96, 256, 16, 1
 #: Tasks that add up the passages' products, each with a matrix of its own to pass on, at least; one
 #: more for each INPUT_TASKS of the input.
 FIT_TASKS, INPUT_TASKS = 16, 8
 #: Words in more than this share of the documents weigh nothing, unless an item has no rarer ones
 #: (an item's rarest TELLING_WORDS always weigh something).
 MAX_SHARE, TELLING_WORDS = 0.05, 6
+#: A candidate has this cosine, and words of this share of the item's weight.
+MIN_COSINE, MIN_MASS = 0.2, 0.4
+#: An item with less of its length in the projection than this is searched by its whole vector.
+MIN_KEPT = 0.7
 #: Shares of an item's words in common order, and of its answer's words, that make a leak.
 MIN_COMMON, MIN_ANSWER = 0.75, 0.5
+#: What makes a paraphrase: this share of the item's words in common order, and of those that few documents have, which
+#: must be so many at least; this share of its answer's words, not all of them in many documents; and this cosine.
+LIKE_COMMON, LIKE_TELLING, LIKE_ANSWER, LIKE_COSINE = 0.45, 4, 0.9, 0.25
+#: Passages of a text that are looked at together.
+TOGETHER = 2_048
 
 # ASCII but letters, digits and underscore parts words.
 _PARTING = bytes(0x20 if b < 0x80 and not (chr(b).isalnum() or b == 0x5F) else b for b in range(256))
@@ -76,22 +90,35 @@ class Item:
     answer: list[bytes]
 
 
+@dataclass
+class Class:
+    """Items of like length and weight, searched alike: their places, weights, and unit vectors; these are projected
+    ones (a matrix), or whole ones: for each word from its start to the next one's the items that have it, and how
+    much of their length it is."""
+
+    size: int
+    members: np.ndarray
+    mass: np.ndarray
+    vectors: np.ndarray | None
+    starts: np.ndarray | None = None
+    holders: np.ndarray | None = None
+    parts: np.ndarray | None = None
+
+
 @dataclass
 class Index:
-    """A block of items: their words' numbers and weights, the projection, and the items by length class."""
+    """A block of items: their words' numbers and weights, the projection, and the items by class."""
 
     number: dict[bytes, int]
     weight: np.ndarray
+    #: The words that few documents have.
+    rare: np.ndarray
     project: np.ndarray
     items: list[Item]
-    #: Each item's size class, least number of common words, and words' numbers.
-    sizes: np.ndarray
-    least: np.ndarray
     own: list[np.ndarray]
-    #: The items that have each word, and how often: a word's are those from its start to the next one's.
-    starts: np.ndarray
-    holders: np.ndarray
-    times: np.ndarray
+    classes: list[Class]
+    #: How much of each item's length the projection keeps.
+    kept: np.ndarray
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, count=len(words))
@@ -102,41 +129,77 @@ class Index:
         if not words:
             return []
         ids = self.ids(words)
-        known = np.unique(ids[ids >= 0])
-        if not len(known):
+        telling = np.flatnonzero((ids >= 0) & (self.weight[ids] > 0))
+        if not len(telling):
             return []
+        own = ids[telling]
+        sums = np.concatenate([[0.0], np.cumsum(self.weight[own])])
         best: dict[int, tuple[int, float, float, float]] = {}
-        for at in np.flatnonzero(self.held(known) >= self.least).tolist():
-            item, size = self.items[at], int(self.sizes[at])
-            its = np.zeros(len(self.number) + 1, bool)
-            its[self.own[at]] = True
+        for c in self.classes:
             # Windows of twice the size, a size apart: each run of ``size`` words is inside of one.
-            sums = np.concatenate([[0], np.cumsum(its[ids])])
-            starts = np.arange(0, max(1, len(words) - size), size)
-            first = np.maximum(0, starts - size // 2)
-            last = np.minimum(np.minimum(starts + 2 * size, len(words)) + size // 2, len(words))
-            for k in np.flatnonzero(sums[last] - sums[first] >= self.least[at]).tolist():
-                inside = ids[first[k] : last[k]]
-                if (got := self.verify(item, words[first[k] : last[k]])) and (item.item_id not in best or got[2:] > best[item.item_id][2:]):
-                    best[item.item_id] = (got[0], self.cosine(self.own[at], inside[inside >= 0]), *got[2:])
+            starts = np.arange(0, max(1, len(words) - c.size), c.size)
+            ends = np.minimum(starts + 2 * c.size, len(words))
+            first, last = np.searchsorted(telling, starts), np.searchsorted(telling, ends)
+            heavy = sums[last] - sums[first]
+            windows = np.flatnonzero(heavy >= MIN_MASS * c.mass.min() - 1e-9)
+            for at in range(0, len(windows), TOGETHER):
+                some = windows[at : at + TOGETHER]
+                for k, m, cosine in self.near(c, own, first[some], last[some]):
+                    k = some[k]
+                    if heavy[k] < MIN_MASS * c.mass[m] - 1e-9:
+                        continue
+                    item = self.items[c.members[m]]
+                    passage = words[max(0, int(starts[k]) - c.size // 2) : int(ends[k]) + c.size // 2]
+                    if (got := self.verify(int(c.members[m]), passage, cosine)) and (item.item_id not in best or got[2:] > best[item.item_id][2:]):
+                        best[item.item_id] = got
         return sorted(best.values())
 
-    def held(self, known: np.ndarray) -> np.ndarray:
-        """How many of each item's words (repeated ones as often) are among the words ``known``."""
-        first, sizes = self.starts[known], self.starts[known + 1] - self.starts[known]
+    def near(self, c: Class, own: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, member, cosine) of what is near. ``own``: a text's telling words; a window has those from first to
+        last."""
+        sizes = last - first
         spots = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-        return np.bincount(self.holders[spots], weights=self.times[spots], minlength=len(self.items))
-
-    def cosine(self, a: np.ndarray, b: np.ndarray) -> float:
-        x, y = self.weight[a] @ self.project[a], self.weight[b] @ self.project[b]
-        return float(x @ y / max(1e-12, np.sqrt((x @ x) * (y @ y))))
-
-    def verify(self, item: Item, passage: list[bytes], cosine: float = 0.0) -> tuple[int, float, float, float] | None:
+        words, window = own[spots], np.repeat(np.arange(len(first)), sizes)
+        cuts = np.cumsum(sizes) - sizes
+        if c.vectors is not None:
+            z = np.add.reduceat(self.project[words] * self.weight[words, None].astype(np.float32), cuts, axis=0)
+            cosines = z @ c.vectors.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+            for k, m in zip(*np.nonzero(cosines >= MIN_COSINE), strict=True):
+                yield int(k), int(m), float(cosines[k, m])
+            return
+        # Whole vectors: a window's repeated words count as often, in its length too.
+        order = np.lexsort((words, window))
+        words, window = words[order], window[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(words) != 0) | (np.diff(window) != 0)]))
+        words, window, times = words[new], window[new], np.diff(np.append(new, len(words)))
+        value = self.weight[words] * times
+        length = np.sqrt(np.bincount(window, weights=value * value, minlength=len(first)))
+        held = c.starts[words + 1] - c.starts[words]
+        listed = np.repeat(c.starts[words] - np.concatenate([[0], np.cumsum(held)[:-1]]), held) + np.arange(int(held.sum()))
+        pair = np.repeat(window, held) * len(c.members) + c.holders[listed]
+        pairs, at = np.unique(pair, return_inverse=True)
+        dots = np.bincount(at, weights=np.repeat(value, held) * c.parts[listed], minlength=len(pairs))
+        cosines = dots / np.maximum(length[pairs // len(c.members)], 1e-12)
+        for i in np.flatnonzero(cosines >= MIN_COSINE):
+            yield int(pairs[i] // len(c.members)), int(pairs[i] % len(c.members)), float(cosines[i])
+
+    def verify(self, at: int, passage: list[bytes], cosine: float) -> tuple[int, float, float, float] | None:
+        item = self.items[at]
         common = common_subsequence(item.words, passage) / len(item.words)
-        if common < MIN_COMMON:
+        if common < LIKE_COMMON:
             return None
         answer = common_subsequence(item.answer, passage) / len(item.answer) if item.answer else 1.0
-        return (item.item_id, cosine, common, answer) if answer >= MIN_ANSWER else None
+        if common >= MIN_COMMON and answer >= MIN_ANSWER:
+            return item.item_id, cosine, common, answer
+        if cosine < LIKE_COSINE or not item.answer or answer < LIKE_ANSWER:
+            return None
+        rare = [w for w in item.words if self.rare[self.number[w]]]
+        kept = common_subsequence(rare, passage)
+        if kept < LIKE_TELLING or kept < LIKE_COMMON * len(rare):
+            return None
+        # Of an answer of words that all texts have, keeping it proves nothing.
+        told = any(w not in self.number or self.rare[self.number[w]] for w in item.answer)
+        return (item.item_id, cosine, common, answer) if told else None
 
 
 def _items(benchmark: DataFrame, answer: str | None) -> Iterator[list[Item]]:
@@ -226,8 +289,9 @@ def _gram_times(passages: DataFrame, weight: np.ndarray, q: np.ndarray) -> np.nd
     return np.concatenate([np.frombuffer(r["part"], q.dtype).reshape(-1, q.shape[1]) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros_like(q)
 
 
-def randomised_svd(passages: DataFrame, own: list[np.ndarray], weight: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (words x rank) of the passages and the driver's ``own`` rows."""
+def randomised_svd(passages: DataFrame, own: list[np.ndarray], weight: np.ndarray, rank: int = RANK, times_own: float = 1.0) -> np.ndarray:
+    """The leading right singular vectors (words x rank) of the passages and the driver's ``own`` rows, each of
+    these ``times_own`` times."""
     width = min(len(weight), rank + OVERSAMPLING)
     q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(weight), width)))[0]
 
@@ -235,7 +299,7 @@ def randomised_svd(passages: DataFrame, own: list[np.ndarray], weight: np.ndarra
         out = _gram_times(passages, weight, q)
         for ids in own:
             w = weight[ids, None]
-            np.add.at(out, ids, w * (w * q[ids]).sum(axis=0))
+            np.add.at(out, ids, times_own * w * (w * q[ids]).sum(axis=0))
         return out
 
     for _ in range(POWER_ITERATIONS):
@@ -249,22 +313,38 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     n, df = _document_frequencies(docs, number)
     own = [np.array([number[w] for w in item.words]) for item in items]
     weight = np.maximum(0.0, np.log((n + 2) / (df + 1)) + np.log(MAX_SHARE))
+    few = weight > 0
     for ids in own:  # an item of frequent words only is told by its rarest ones
         rare = ids[np.argsort(df[ids], kind="stable")[:TELLING_WORDS]]
         weight[rare] = np.maximum(weight[rare], 0.5)
     weighed = {w: i for w, i in number.items() if weight[i] > 0}
     tasks = max(FIT_TASKS, input_partitions(docs) // INPUT_TASKS)
     passages = written(_passages(docs, weighed, int(np.median([len(o) for o in own]))).repartition(tasks))
-    project = randomised_svd(passages, own, weight)
+    # Items are few beside the passages; they count for as much as all of these, so that directions are theirs as well.
+    alike = max(1.0, float((df * weight**2).sum() / max(1e-12, sum((weight[o] ** 2).sum() for o in own))))
+    project = randomised_svd(passages, own, weight, min(MOST_RANK, max(RANK, len(items))), alike).astype(np.float32)
     sizes = np.array([1 << max(3, int(len(ids) - 1).bit_length()) for ids in own])
-    least = np.array([np.ceil(MIN_COMMON * len(ids) - 1e-9) for ids in own])
-    each = [np.unique(ids, return_counts=True) for ids in own]
-    words = np.concatenate([w for w, _ in each])
-    order = np.argsort(words, kind="stable")
-    holders = np.repeat(np.arange(len(own), dtype=np.int32), [len(w) for w, _ in each])[order]
-    times = np.concatenate([k for _, k in each])[order].astype(np.int32)
-    starts = np.searchsorted(words[order], np.arange(len(number) + 1))
-    return Index(number, weight, project.astype(np.float32), items, sizes, least, own, starts, holders, times)
+    mass = np.array([weight[ids].sum() for ids in own])
+    whole = [(u, weight[u] * k) for u, k in (np.unique(ids, return_counts=True) for ids in own)]
+    lengths = np.array([np.sqrt(x @ x) for _, x in whole])
+    projected = np.array([x @ project[u] for u, x in whole])
+    kept = np.linalg.norm(projected, axis=1) / np.maximum(lengths, 1e-12)
+    groups: dict[tuple[int, int, bool], list[int]] = {}
+    for i in range(len(items)):
+        groups.setdefault((int(sizes[i]), int(np.log2(mass[i])), bool(kept[i] >= MIN_KEPT)), []).append(i)
+    classes = []
+    for (size, _, latent), members in sorted(groups.items()):
+        c = Class(size, np.array(members), mass[members], None)
+        if latent:
+            c.vectors = (projected[members] / np.maximum(np.linalg.norm(projected[members], axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        else:
+            words = np.concatenate([whole[i][0] for i in members])
+            order = np.argsort(words, kind="stable")
+            c.holders = np.repeat(np.arange(len(members)), [len(whole[i][0]) for i in members])[order]
+            c.parts = np.concatenate([whole[i][1] / lengths[i] for i in members])[order]
+            c.starts = np.searchsorted(words[order], np.arange(len(number) + 1))
+        classes.append(c)
+    return Index(number, weight, few, project, items, own, classes, kept)
 
 
 LEAKS = "array<struct<item_id:bigint,cosine:double,common:double,answer:double>>"
