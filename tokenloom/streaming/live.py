@@ -35,17 +35,28 @@ _HELD = "folder string, language string, generation bigint, version bigint, dele
 DELTA = "model_id string, path string, folder string, language string, generation bigint, version bigint, files bigint, tokens bigint, inexact bigint"
 
 
+#: State as timers and several values need it; batches write what changed, not all state, and nothing is set aside on
+#: disk for states that are small.
+_ROCKSDB = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "rocksdb.changelogCheckpointing.enabled": "true",
+    "rocksdb.allowFAllocate": "false",
+}
+
+
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """For queries that start inside: state is kept in RocksDB, as timers and several values need. The session's
-    setting comes back afterwards; a query that has started keeps its own."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """For queries that start inside: state is kept in RocksDB. The session's settings come back afterwards; a query
+    that has started keeps its own."""
+    names = {f"spark.sql.streaming.stateStore.{k}": v for k, v in _ROCKSDB.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 class _Newest(StatefulProcessor):
