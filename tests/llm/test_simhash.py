@@ -124,3 +124,24 @@ def test_similar_documents_are_found(spark):
     kept = sorted(x.doc_id for x in S.keep_similar(df).collect())
     assert kept == sorted([i for i, _ in rows if i not in want] + [90])
     assert len({x.doc_id for x in S.keep_one(df).collect()} & want) > 10
+
+
+def test_the_tables_similar_documents_are_found(spark):
+    """All pairs of sf0.001 by Jaccard similarity: what is kept is one of each group."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: set(S.shingle_hashes(t).tolist()) for i, t in rows}
+    near = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    want = {root for root in brute_components([i for i, _ in rows], near).values()}
+    kept = {x.doc_id for x in S.keep_similar(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert len(want) < len(rows) and len(want & kept) >= 0.9 * len(want) and kept == want
+
+
+def test_fingerprints_find_near_copies_without_keys(spark, monkeypatch):
+    """What two bits can find needs no keys; a large group of near copies is linked all the same."""
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 9000)}" for _ in range(2000)]
+    rows = [(i, " ".join([*words[:1990], *(f"x{i}" for _ in range(1))]), None) for i in range(120)] + [(500 + i, " ".join(f"z{i}{r.random()}" for _ in range(50)), None) for i in range(20)]
+    monkeypatch.setattr(S, "shingle_keys", lambda hashes: [])
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    kept = {x.doc_id for x in S.keep_similar(df).collect()}
+    assert {i for i in kept if i >= 500} == set(range(500, 520)) and len(kept) <= 22

@@ -13,9 +13,10 @@ instead give out their *midpoints*, themselves and every fingerprint one bit awa
 share a midpoint exactly if they differ in at most 2 bits, so all that share one are linked to its
 smallest: the same components, from at most 65 rows a fingerprint.
 
-Similarity 0.8 on five-word shingles is some ten differing bits, too many to probe for. ``keep_similar``
-therefore takes its candidates from keys of smallest shingle hashes and verifies each by the Jaccard
-similarity of the two sets of shingles.
+``keep_similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its first
+candidates are those of the pigeonhole: fingerprints of five-word shingles at up to 2 bits, verified on the texts. But
+similarity 0.8 is some ten differing bits of 64, too many to probe for (README); so what the fingerprints have not brought
+together is looked for by keys of smallest shingle hashes, and verified likewise.
 """
 
 from __future__ import annotations
@@ -253,6 +254,14 @@ def shingle_hashes(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)), np.uint64))
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """64 bits of a set of shingles' hashes; a bit is set if it is in over half of them."""
+    if not len(hashes):
+        return 0
+    total = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
 def _set_hash(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
@@ -270,17 +279,16 @@ def shingle_keys(hashes: np.ndarray) -> list[int]:
 
 def similar_links(texts: DataFrame, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(a, b): links between the texts (fp, text; one row for each set of shingles) that connect those of
-    similarity ``least`` or more that share a key. In each bucket all are compared with its smallest fp,
-    and what that does not hold with all."""
+    similarity ``least`` or more whose fingerprints link, or that share a key. In each bucket of a key all are compared
+    with its smallest fp, and what that does not hold with all; what fingerprints have linked is not compared again."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [shingle_keys(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
+            hashes = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+            bits = np.array([set_print(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits), pa.array([shingle_keys(h) for h in hashes], pa.list_(pa.int64()))], names=["fp", "bits", "keys"])
 
-    every = written(spread(texts).mapInArrow(released(keyed), "fp long, keys array<long>")).select("fp", F.explode("keys").alias("key"))
-    shared = written(every.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1").select("key", "pivot"))
-    rows = written(every.join(shared, "key").where("fp != pivot"))
+    printed = written(spread(texts).mapInArrow(released(keyed), "fp long, bits long, keys array<long>"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,10 +304,21 @@ def similar_links(texts: DataFrame, shingle: int = WIDE_SHINGLE, least: float =
         both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         return written(both.mapInArrow(released(compared), "a long, b long"))
 
-    held = verified(rows.select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
-    loose = written(rows.join(held.toDF("pivot", "fp"), ["pivot", "fp"], "left_anti"))
-    rest = loose.join(rows.select("key", F.col("fp").alias("other")), "key").where("fp != other")
-    return held.unionByName(verified(rest.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))))
+    # One text stands for all of a fingerprint; fingerprints that link bring their texts together.
+    nodes = written(printed.groupBy("bits").agg(F.min("fp").alias("one")))
+    linked = links(nodes.select(F.col("bits").alias("fp")))
+    pairs = linked.join(nodes.toDF("a", "one_a"), "a").join(nodes.toDF("b", "one_b"), "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
+    same = printed.join(nodes, "bits").where("fp != one").select(F.least("fp", "one").alias("a"), F.greatest("fp", "one").alias("b"))
+    near = verified(pairs.unionByName(same))
+    roots = components(near.toDF("u", "v")).toDF("fp", "root")
+    grouped = written(printed.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "keys"))
+    every = grouped.select("fp", "root", F.explode("keys").alias("key"))
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "root")).alias("p")).where("n > 1").select("key", F.col("p.fp").alias("pivot"), F.col("p.root").alias("pivot_root")))
+    rows = written(every.join(shared, "key").where("fp != pivot"))
+    held = verified(rows.where("root != pivot_root").select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
+    loose = written(rows.where("root != pivot_root").join(held.toDF("pivot", "fp"), ["pivot", "fp"], "left_anti"))
+    rest = loose.join(rows.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root")), "key").where("root != other_root")
+    return near.unionByName(held).unionByName(verified(rest.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))))
 
 
 def _keep_first(docs: DataFrame, print_of: Callable, components_of: Callable) -> DataFrame:
