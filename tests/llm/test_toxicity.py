@@ -104,3 +104,11 @@ def test_odd_rows(spark, learned):
     one_kind = X.fit(docs, spark.createDataFrame([(1, 0), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int"))
     assert X.score(docs, one_kind).where("score < 0.3").count() == 4
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_any_label_above_nothing_is_toxic(spark):
+    docs = spark.createDataFrame([(i, "vile rotten words" if i % 2 else "kind gentle words") for i in range(40)], "doc_id long, text string")
+    odd = spark.createDataFrame([(i, i % 2 * (1 + i % 3) - (i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")  # -1, 0, 1, 2, 3
+    plain = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, two = (X.fit(docs, labels) for labels in (odd, plain))
+    assert one.weights == two.weights and one.bias == two.bias

@@ -121,9 +121,9 @@ _NONE: dict[str, float] = {}
 
 
 def _sample(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """(text, label) of at most SAMPLE_ROWS labelled rows; copies of a text count once. A doc_id
-    that is labelled twice is toxic if any label says so."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label")).where(usable)
+    """(text, label) of at most SAMPLE_ROWS labelled rows; copies of a text count once. A label above 0 is
+    toxic, any other is not; a doc_id that is labelled twice is toxic if any label says so."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic").cast("double") > 0).cast("int")).alias("label")).where(usable)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # SAMPLE_ROWS bounds it
     return rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id")).join(
