@@ -161,3 +161,12 @@ def test_starting_model():
     assert R.initial_model("gpt-4", "o3") == (R.BY_ID["gpt-4-turbo"], "gpt-4-turbo")
     assert R.initial_model(None, "o3-mini") == (R.BY_ID["o4-mini"], None)
     assert R.initial_model("nope", "nope") == (R.default_model(), None)
+
+
+def test_buffers_stand_for_what_is_stored(spark):
+    texts = spark.createDataFrame([("/a", "one", 1), ("/b", "two", 2), ("/c", None, 3), (None, "x", 4)], "path string, text string, n int")
+    buffers = spark.createDataFrame([("/a", "open"), ("/b", None), ("/c", "c"), ("/d", "none"), (None, "y"), ("/a", "older")], "path string, text string")
+    out = rel.overlaid(texts, buffers)
+    assert out.columns == texts.columns
+    assert sorted(tuple(r) for r in out.collect() if r.path) == [("/a", "open", 1), ("/b", "", 2), ("/c", "c", 3)]
+    assert [r.text for r in out.where("path is null").collect()] == ["x"] and rel.overlaid(texts, buffers.limit(0)).count() == 4

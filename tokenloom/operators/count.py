@@ -12,24 +12,25 @@ from . import tokenizers as T
 
 
 def count_tokens(texts: DataFrame, model: R.Model | str, text: str = "text", store: VocabularyStore | None = None) -> DataFrame:
-    """``texts`` with count and exact.
-
-    An empty or null text is exactly 0 for every model. A text longer than 10,485,760 UTF-16 units is
-    estimated. Others are counted with the model's vocabulary if the store has one that can be read,
-    else estimated; so is a text that the vocabulary fails on.
-    """
+    """``texts`` with count and exact, by the model's vocabulary if the store has one that can be read, else by its
+    ratio."""
     found = R.find_model(model) if isinstance(model, str) else model
     if found is None:
         raise ValueError(f"no such model: {model}")
-    vocabulary = store.load(found) if store else None
+    return count_with(texts, found.ratio, store.load(found) if store else None, text)
+
+
+def count_with(texts: DataFrame, ratio: float, vocabulary: T.RankVocabulary | T.TokenizerFile | None, text: str = "text", most: int = R.MAX_BYTES) -> DataFrame:
+    """``texts`` with count and exact. An empty or null text is exactly 0. A text of more than ``most`` UTF-16 units is
+    estimated by the ratio, and so is one that the vocabulary fails on, or any other where there is none."""
     if vocabulary is None:
-        return texts.withColumn("__t", C.token_count(text, found.ratio)).select(*texts.columns, F.col("__t.count").alias("count"), F.col("__t.exact").alias("exact"))
+        return texts.withColumn("__t", C.token_count(text, ratio)).select(*texts.columns, F.col("__t.count").alias("count"), F.col("__t.exact").alias("exact"))
     empty = F.coalesce(F.length(text), F.lit(0)) == 0
-    countable = C.utf16_length(text) <= R.MAX_BYTES
+    countable = C.utf16_length(text) <= most
     # Python functions see every row, whatever stands around them: what is not to be counted is null there.
     counted = T.count_exact(texts, vocabulary, F.when(~empty & countable, F.col(text)), "__count")
     exact = empty | (countable & F.col("__count").isNotNull())
-    count = F.when(empty, F.lit(0).cast("bigint")).when(exact, F.col("__count")).otherwise(C.heuristic_tokens(text, found.ratio))
+    count = F.when(empty, F.lit(0).cast("bigint")).when(exact, F.col("__count")).otherwise(C.heuristic_tokens(text, ratio))
     return counted.select(*[F.col(c) for c in texts.columns], count.alias("count"), exact.alias("exact"))
 
 

@@ -177,6 +177,14 @@ def openable(requested: DataFrame, counted: DataFrame) -> DataFrame:
     return requested.join(counted.select("path"), "path", "left_semi")
 
 
+def overlaid(texts: DataFrame, buffers: DataFrame) -> DataFrame:
+    """``texts`` (path, text and others) with what an editor holds open (``buffers``: path, text) in place of what is
+    stored. Of several buffers of a path the largest text counts; a buffer without text is an empty one."""
+    held = buffers.where("path is not null").groupBy("path").agg(F.max(F.coalesce("text", F.lit(""))).alias("__open"))
+    both = texts.join(held, "path", "left").withColumn("text", F.coalesce("__open", "text"))
+    return both.select(texts.columns)
+
+
 # Rankings
 
 

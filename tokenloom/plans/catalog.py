@@ -153,6 +153,30 @@ def bpe_count(spark, sf_dir):
     return T.count_exact(table(spark, sf_dir, "documents").select("doc_id", "text"), T.RankVocabulary(T.synthetic_ranks())).select("doc_id", "count")
 
 
+@query(
+    f"SELECT doc_id, CASE WHEN u <= 3000 THEN CAST(strlen(text) - (length(text) - length(replace(text, 'lo', ''))) // 2 - (length(text) - length(replace(text, 'He', ''))) // 2 AS BIGINT) "
+    f"ELSE CAST(ceil(u / CAST({RATIO} AS DOUBLE)) AS BIGINT) END AS count, u <= 3000 AS exact FROM (SELECT *, {_utf16('text')} AS u FROM documents)"
+)
+def count_or_estimate(spark, sf_dir):
+    """Texts of up to 3,000 units by a vocabulary, longer ones by a ratio, and said to be so."""
+    counted = counting.count_with(table(spark, sf_dir, "documents").select("doc_id", "text"), RATIO, T.RankVocabulary(T.synthetic_ranks()), most=3_000)
+    return counted.select("doc_id", "count", "exact")
+
+
+@query(f"SELECT doc_id, CAST(ceil({_utf16('t')} / CAST({RATIO} AS DOUBLE)) AS BIGINT) AS tokens FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'draft ' || text WHEN doc_id % 9 = 0 THEN '' ELSE text END AS t FROM documents)")
+def open_buffers(spark, sf_dir):
+    """Every fourth document is open with a word more, and some others are open and empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    drafts = docs.where("doc_id % 4 = 0").select("path", F.concat(F.lit("draft "), "text").alias("text"))
+    emptied = docs.where("doc_id % 4 != 0 and doc_id % 9 = 0").select("path", F.lit(None).cast("string").alias("text"))
+    return rel.overlaid(docs, drafts.unionByName(emptied)).select("doc_id", C.heuristic_tokens("text", RATIO).alias("tokens"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace('{\"page_id\":' || page_id || ',\"html\":' || to_json(html) || '}', '<', '\\u003c'), chr(8232), '\\u2028'), chr(8233), '\\u2029')) AS embedded_md5 FROM pages")
+def embedded_json(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(C.embed_json(F.struct("page_id", "html"))).alias("embedded_md5"))
+
+
 @query()
 def vocabulary_count(spark, sf_dir):
     """Exact counts over a public vocabulary of 50,256 tokens, where its file is installed."""
