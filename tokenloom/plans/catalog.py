@@ -210,18 +210,18 @@ def pretokenize(spark, sf_dir):
     return pieces.select("doc_id", F.size("pieces").alias("n_pieces"), (F.array_join("pieces", "") == F.col("text")).alias("covers_text"))
 
 
-def _rank_lines() -> list[str]:
-    import base64
-
-    lines = [f"{base64.b64encode(token).decode()} {rank}" for token, rank in T.synthetic_ranks().items() if rank != 77]
-    return [*lines, "", "no rank here", "IQ== -3", "IQ== x"]
-
-
 @query(
-    f"SELECT count(*) AS entries, count(DISTINCT rank) AS distinct_ranks, max(rank) + 1 AS expected_ranks, max(rank) + 1 - count(DISTINCT rank) AS missing FROM (SELECT CAST(regexp_extract(line, '^[A-Za-z0-9+/=]+ ([0-9]+)$', 1) AS BIGINT) AS rank FROM ({_values([(x,) for x in _rank_lines()])}) AS v(line) WHERE regexp_matches(line, '^[A-Za-z0-9+/=]+ [0-9]+$'))"
+    "WITH l AS (SELECT CASE doc_id % 11 WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE doc_id END AS rank FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 11 = 7) "
+    "SELECT count(rank) AS entries, count(DISTINCT rank) AS distinct_ranks, max(rank) + 1 AS expected_ranks, max(rank) + 1 - count(DISTINCT rank) AS missing FROM l"
 )
 def rank_table_density(spark, sf_dir):
-    return T.rank_density(T.parse_rank_lines(spark.createDataFrame([(x,) for x in _rank_lines()], "value string")))
+    """A rank file of a line for each document: some lines are none, some ranks come twice."""
+    d = F.col("doc_id")
+    token = F.base64(F.concat("lang", d.cast("string")).cast("binary"))
+    line = F.when(d % 11 == 3, F.concat(token, F.lit(" -"), d.cast("string"))).when(d % 11 == 5, F.concat(F.lit("no rank "), d.cast("string"))).otherwise(F.concat(token, F.lit(" "), d.cast("string")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    again = docs.where("doc_id % 11 = 7").select(F.concat(F.lit("IQ== "), d.cast("string")).alias("value"))
+    return T.rank_density(T.parse_rank_lines(docs.select(line.alias("value")).unionByName(again)))
 
 
 # Breakdowns
@@ -393,71 +393,125 @@ _ASKED = [*R.BY_ID, *R.ALIASES, "nope", ""]
 _CHOICES = [("gpt-4", "o3"), (None, "o3-mini"), ("nope", "grok-3"), (None, None), ("kimi-k3", None), ("nope", "nope"), ("qwen3", "o3")]
 
 
-@query(f"WITH {MODELS} SELECT asked, label, provider, context_limit FROM ({_values([(x,) for x in _ASKED])}) AS a(asked) JOIN models ON asked = model_id")
-def model_lookup(spark, sf_dir):
-    asked = spark.createDataFrame([(x,) for x in _ASKED], "asked string")
-    return asked.join(F.broadcast(R.models(spark)), F.col("asked") == F.col("model_id")).select("asked", "label", "provider", "context_limit")
+def _picked(values: list, by: str = "doc_id"):
+    """Of a few values the one for a row."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col(by) % len(values) + 1).cast("int"))
+
+
+def _picked_sql(values: list, by: str = "doc_id") -> str:
+    return f"([{', '.join(map(_text, values))}])[{by} % {len(values)} + 1]"
+
+
+def _asking(spark, sf_dir):
+    """Documents, each with the id of a model that it asks for: live, retired or none."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", _picked(_ASKED).alias("asked"))
+
 
+_ASKS = f"asks AS (SELECT doc_id, text, {_picked_sql(_ASKED)} AS asked FROM documents)"
 
-_RESOLVE = "coalesce((SELECT model_id FROM models WHERE model_id = {0}), (SELECT a.model_id FROM aliases a WHERE a.alias = {0}))"
 
+def _choosing(spark, sf_dir):
+    """Documents, each with a live model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _picked([m.model_id for m in R.MODELS]).alias("model_id"))
+    return docs.join(F.broadcast(R.models(spark)), "model_id")  # a registry
 
-@query(f"WITH {MODELS}, {ALIASES} SELECT asked, {_RESOLVE.format('asked')} AS resolved_id FROM ({_values([(x,) for x in _ASKED])}) AS q(asked)")
+
+_CHOOSES = f"chooses AS (SELECT doc_id, text, models.* FROM documents JOIN models ON model_id = {_picked_sql([m.model_id for m in R.MODELS])})"
+
+
+@query(f"WITH {MODELS}, {_ASKS} SELECT doc_id, asked, label, provider, context_limit FROM asks JOIN models ON asked = model_id")
+def model_lookup(spark, sf_dir):
+    return _asking(spark, sf_dir).join(F.broadcast(R.models(spark)), F.col("asked") == F.col("model_id")).select("doc_id", "asked", "label", "provider", "context_limit")
+
+
+@query(f"WITH {MODELS}, {ALIASES}, {_ASKS} SELECT doc_id, asked, coalesce(m.model_id, a.model_id) AS resolved_id FROM asks LEFT JOIN models m ON asked = m.model_id LEFT JOIN aliases a ON asked = a.alias")
 def resolve_model(spark, sf_dir):
-    return rel.resolve(spark.createDataFrame([(x,) for x in _ASKED], "asked string"), R.models(spark), R.aliases(spark), "asked")
+    return rel.resolve(_asking(spark, sf_dir).select("doc_id", "asked"), R.models(spark), R.aliases(spark), "asked")
 
 
 @query(
-    f"WITH {MODELS}, {ALIASES}, q AS (SELECT saved, configured, {_RESOLVE.format('saved')} AS s, {_RESOLVE.format('configured')} AS c FROM ({_values(_CHOICES)}) AS q(saved, configured)) "
-    "SELECT saved, configured, coalesce(s, c, (SELECT model_id FROM models WHERE ord = 0)) AS model_id, CASE WHEN s <> saved THEN s END AS migrate_to FROM q"
+    f"WITH {MODELS}, {ALIASES}, live AS (SELECT model_id AS asked, model_id AS to_id FROM models UNION ALL SELECT alias, model_id FROM aliases), "
+    f"q AS (SELECT doc_id, {_picked_sql([a for a, _ in _CHOICES])} AS saved, {_picked_sql([b for _, b in _CHOICES])} AS configured FROM documents) "
+    "SELECT doc_id, saved, configured, coalesce(s.to_id, c.to_id, (SELECT model_id FROM models WHERE ord = 0)) AS model_id, CASE WHEN s.to_id <> saved THEN s.to_id END AS migrate_to FROM q LEFT JOIN live s ON saved = s.asked LEFT JOIN live c ON configured = c.asked"
 )
 def initial_model(spark, sf_dir):
-    return rel.initial_models(spark.createDataFrame(_CHOICES, "saved string, configured string"), R.models(spark), R.aliases(spark))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _picked([a for a, _ in _CHOICES]).alias("saved"), _picked([b for _, b in _CHOICES]).alias("configured"))
+    return rel.initial_models(rows, R.models(spark), R.aliases(spark))
 
 
-@query(f"WITH {MODELS} SELECT model_id, repo FROM models WHERE kind IN ('hf', 'tiktokenModel')")
+@query(f"WITH {MODELS}, {_CHOOSES} SELECT doc_id, model_id, repo FROM chooses WHERE kind IN ('hf', 'tiktokenModel')")
 def downloadable_models(spark, sf_dir):
-    return R.models(spark).where(C.is_downloadable("encoder.kind")).select("model_id", F.col("encoder.repo").alias("repo"))
+    return _choosing(spark, sf_dir).where(C.is_downloadable("encoder.kind")).select("doc_id", "model_id", F.col("encoder.repo").alias("repo"))
 
 
-@query(f"WITH {MODELS} SELECT model_id, CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated' ELSE 'after-download' END AS accuracy, false AS exact_now FROM models")
+@query(f"WITH {MODELS}, {_CHOOSES} SELECT doc_id, model_id, CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated' ELSE 'after-download' END AS accuracy, coalesce(text, '') = '' AS exact_now FROM chooses")
 def model_exactness(spark, sf_dir):
-    exact = [(m.model_id, counting.is_exact(m, None)) for m in R.MODELS]
-    flags = spark.createDataFrame(exact, "model_id string, exact_now boolean")
-    return R.models(spark).join(F.broadcast(flags), "model_id").select("model_id", C.accuracy("encoder.kind").alias("accuracy"), "exact_now")
+    """How far each document's model can be trusted, and whether its count is exact without any vocabulary."""
+    counted = _choosing(spark, sf_dir).withColumn("t", C.token_count("text", RATIO))
+    return counted.select("doc_id", "model_id", C.accuracy("encoder.kind").alias("accuracy"), F.col("t.exact").alias("exact_now"))
 
 
-@query(f"WITH {MODELS} SELECT repo, count(*) AS models, string_agg(model_id, ',' ORDER BY model_id) AS model_ids FROM models WHERE repo IS NOT NULL GROUP BY repo")
+@query(f"WITH {MODELS}, {_CHOOSES} SELECT repo, count(DISTINCT model_id) AS models, string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS model_ids, count(*) AS documents FROM chooses WHERE repo IS NOT NULL GROUP BY repo")
 def vocab_sharing(spark, sf_dir):
-    return rel.vocabulary_sharing(R.models(spark)).select("repo", "models", F.array_join("model_ids", ",").alias("model_ids"))
+    """Which models, of those that documents ask for, one download serves, and for how many documents."""
+    asked = _choosing(spark, sf_dir).groupBy(*R.models(spark).columns).agg(F.count("*").alias("n"))
+    counts = asked.groupBy(F.col("encoder.repo").alias("repo")).agg(F.sum("n").alias("documents"))
+    return rel.vocabulary_sharing(asked.drop("n")).join(counts, "repo").select("repo", "models", F.array_join("model_ids", ",").alias("model_ids"), "documents")
 
 
-@query(f"WITH {MODELS} SELECT provider, min(ord) AS first_ord, count(*) AS models FROM models GROUP BY provider")
+@query(f"WITH {MODELS}, {_CHOOSES} SELECT provider, min(ord) AS first_ord, count(DISTINCT model_id) AS models, count(*) AS documents FROM chooses GROUP BY provider")
 def providers(spark, sf_dir):
-    return rel.providers(R.models(spark))
+    asked = _choosing(spark, sf_dir).groupBy("provider", "model_id", "ord").agg(F.count("*").alias("n"))
+    return rel.providers(asked).join(asked.groupBy("provider").agg(F.sum("n").alias("documents")), "provider").select("provider", "first_ord", "models", "documents")
 
 
 _LIMIT = "CASE WHEN context_limit >= 10000000 THEN CAST(CAST(round(context_limit / 1000000.0) AS BIGINT) AS VARCHAR) || 'M' WHEN context_limit >= 1000000 THEN replace(printf('%.1f', context_limit / CAST(1000000 AS DOUBLE)), '.0', '') || 'M' ELSE CAST(CAST(round(context_limit / 1000.0) AS BIGINT) AS VARCHAR) || 'K' END"
 
 
 @query(
-    f"WITH {MODELS} SELECT ord, model_id, label, provider || ' · ' || {_LIMIT} || ' context · ' || CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated — no public tokenizer' ELSE 'exact once the tokenizer is downloaded' END AS description FROM models"
+    f"WITH {MODELS}, {_CHOOSES} SELECT doc_id, ord, model_id, label, provider || ' · ' || {_LIMIT} || ' context · ' || CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated — no public tokenizer' ELSE 'exact once the tokenizer is downloaded' END AS description FROM chooses"
 )
 def model_catalog(spark, sf_dir):
-    return rel.catalog(R.models(spark))
+    docs = _choosing(spark, sf_dir).select("doc_id", "model_id")
+    return docs.join(F.broadcast(rel.catalog(R.models(spark))), "model_id").select("doc_id", "ord", "model_id", "label", "description")
 
 
 @query(
-    f"WITH {MODELS}, m AS (SELECT *, lag(provider) OVER (ORDER BY ord) AS before FROM models) SELECT ord, 0 AS line, provider AS label, NULL AS model_id, NULL AS detail FROM m WHERE before IS DISTINCT FROM provider UNION ALL "
-    f"SELECT ord, 1, CASE WHEN model_id = 'o3' THEN '* ' ELSE '' END || label, model_id, {_shown('context_limit')} || ' token context · ' || CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated' ELSE 'exact once downloaded' END FROM m"
+    f"WITH {MODELS}, {_CHOOSES}, n AS (SELECT model_id, count(*) AS documents FROM chooses GROUP BY model_id), m AS (SELECT *, lag(provider) OVER (ORDER BY ord) AS before FROM models) "
+    "SELECT ord, 0 AS line, provider AS label, NULL AS model_id, NULL AS detail, NULL AS documents FROM m WHERE before IS DISTINCT FROM provider UNION ALL "
+    f"SELECT ord, 1, CASE WHEN m.model_id = 'o3' THEN '* ' ELSE '' END || label, m.model_id, {_shown('context_limit')} || ' token context · ' || CASE kind WHEN 'tiktoken' THEN 'exact' WHEN 'heuristic' THEN 'estimated' ELSE 'exact once downloaded' END, coalesce(documents, 0) FROM m LEFT JOIN n USING (model_id)"
 )
 def model_picker(spark, sf_dir):
-    return rel.picker(R.models(spark), "o3")
+    """The list to choose from, with the number of documents that ask for each model."""
+    asked = _choosing(spark, sf_dir).groupBy("model_id").agg(F.count("*").alias("documents"))
+    rows = rel.picker(R.models(spark), "o3").join(asked, "model_id", "left")
+    return rows.select("ord", "line", "label", "model_id", "detail", F.when(F.col("model_id").isNotNull(), F.coalesce("documents", F.lit(0))).alias("documents"))
+
+
+_REGISTERED = """own AS (SELECT CAST(min(doc_id) AS INTEGER) AS ord, source AS model_id, lang AS provider, CAST(max(n_chars) AS BIGINT) AS context_limit, count(*) % 12 + 0.5 AS ratio FROM documents GROUP BY source, lang),
+renamed AS (SELECT 'old-' || lang AS alias, max(source) AS model_id FROM documents GROUP BY lang UNION ALL SELECT source, 'gone' FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0)"""
 
 
-@query(f"WITH {MODELS}, {ALIASES} SELECT 'alias of no live model' AS rule, alias AS subject FROM aliases WHERE model_id NOT IN (SELECT model_id FROM models) UNION ALL SELECT 'alias hides a live model', alias FROM aliases WHERE alias IN (SELECT model_id FROM models)")
+@query(
+    f"WITH {_REGISTERED}, runs AS (SELECT provider, lag(provider) OVER (ORDER BY ord) AS before FROM own) "
+    "SELECT 'duplicate id' AS rule, model_id AS subject FROM own GROUP BY model_id HAVING count(*) > 1 "
+    "UNION ALL SELECT 'implausible limit', model_id FROM own WHERE context_limit < 4096 OR context_limit > 20000000 "
+    "UNION ALL SELECT 'scattered provider', provider FROM runs WHERE before IS DISTINCT FROM provider GROUP BY provider HAVING count(*) > 1 "
+    "UNION ALL SELECT 'alias of no live model', alias FROM renamed WHERE model_id NOT IN (SELECT model_id FROM own) "
+    "UNION ALL SELECT 'alias hides a live model', alias FROM renamed WHERE alias IN (SELECT model_id FROM own) "
+    "UNION ALL SELECT 'implausible ratio', model_id FROM own WHERE NOT (ratio > 1 AND ratio < 10)"
+)
 def registry_violations(spark, sf_dir):
-    return rel.registry_violations(R.models(spark), R.aliases(spark))
+    """A registry with every fault: a model for each source and language of the documents (so ids come several times,
+    and languages are scattered), their longest text as its limit, and aliases of none or of the living."""
+    docs = table(spark, sf_dir, "documents")
+    nothing = F.lit(None).cast("string")
+    encoder = F.struct(F.lit("heuristic").alias("kind"), nothing.alias("encoding"), nothing.alias("repo"), (F.col("n") % 12 + 0.5).cast("double").alias("chars_per_token"))
+    groups = docs.groupBy("source", "lang").agg(F.min("doc_id").cast("int").alias("ord"), F.max("n_chars").cast("bigint").alias("context_limit"), F.count("*").alias("n"))
+    own = groups.select(F.col("source").alias("model_id"), F.col("source").alias("label"), F.col("lang").alias("provider"), encoder.alias("encoder"), "context_limit", "ord")
+    renamed = docs.groupBy("lang").agg(F.max("source").alias("model_id")).select(F.concat(F.lit("old-"), "lang").alias("alias"), "model_id")
+    gone = docs.groupBy("source").agg(F.min("doc_id").alias("d")).where("d % 2 = 0").select(F.col("source").alias("alias"), F.lit("gone").alias("model_id"))
+    return rel.registry_violations(own, renamed.unionByName(gone))
 
 
 # Selections
@@ -523,10 +577,10 @@ def progress_marks(spark, sf_dir):
     return rel.progress_marks(rows, "seq", rows.count())
 
 
-@query(f"WITH {MODELS} SELECT model_id, replace(repo, '/', '--') AS folder, context_limit, CASE WHEN context_limit >= 1000 THEN format('{{:,}}', context_limit) ELSE CAST(context_limit AS VARCHAR) END AS shown FROM models WHERE repo IS NOT NULL")
+@query(f"WITH {MODELS}, {_CHOOSES} SELECT doc_id, model_id, replace(repo, '/', '--') AS folder, context_limit, CASE WHEN context_limit >= 1000 THEN format('{{:,}}', context_limit) ELSE CAST(context_limit AS VARCHAR) END AS shown FROM chooses WHERE repo IS NOT NULL")
 def vocabulary_folders(spark, sf_dir):
-    rows = R.models(spark).where("encoder.repo is not null")
-    return rows.select("model_id", C.repository_folder("encoder.repo").alias("folder"), "context_limit", C.thousands("context_limit").alias("shown"))
+    rows = _choosing(spark, sf_dir).where("encoder.repo is not null")
+    return rows.select("doc_id", "model_id", C.repository_folder("encoder.repo").alias("folder"), "context_limit", C.thousands("context_limit").alias("shown"))
 
 
 # The count cache
