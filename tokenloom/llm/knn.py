@@ -27,6 +27,8 @@ SHARD_VECTORS = 16_384
 LEAF = 128
 BLOCK = 256
 NONE = np.iinfo(np.int64).min
+#: Stands for a vec_id that is null, behind all others.
+UNNAMED = np.iinfo(np.int64).max
 
 
 class KdTree:
@@ -97,11 +99,11 @@ class KdTree:
 
 def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """(row long, id long, v array<long>): floor(scale * x) of each component, and a number for each row.
-    Rows without id, null vectors, and vectors with null or non-finite components take no part."""
+    Null vectors, and vectors with null or non-finite components, take no part; a null id is ``UNNAMED``."""
     whole = F.col(embedding).cast("array<double>")
     fine = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & fine)
-    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("id"), F.transform(whole, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = vectors.where(F.col(embedding).isNotNull() & fine)
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(vec_id).cast("long"), F.lit(int(UNNAMED))).alias("id"), F.transform(whole, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -114,7 +116,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
     all rows but itself, ties to the smaller vec_id; fewer, if there are fewer rows.
 
     ``is_query``: a condition over vec_id. A vec_id that comes twice asks twice, and each of its rows is a
-    candidate for the other. Components that a shorter vector lacks count as zero. Extra columns are
+    candidate for the other. A row without vec_id is a candidate, last of those that tie, and never asks. Components that a shorter vector lacks count as zero. Extra columns are
     ignored. Products must fit in 64 bits.
     """
     spark = vectors.sparkSession
@@ -156,7 +158,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
     block_schema, found_schema = "home long, own binary, ids binary, v binary, bounds binary", "query_row long, query_id long, vec_id long, score long"
-    queries = rows.where(F.coalesce(is_query(F.col("id")), F.lit(False)))
+    queries = rows.where((F.col("id") != int(UNNAMED)) & F.coalesce(is_query(F.col("id")), F.lit(False)))
     # Each query at home: the shard that its block is dealt to.
     homes = queries.select("row", "id", "v", F.lit(int(NONE)).alias("bound"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("home")).repartition("home").sortWithinPartitions("home")
     first = written(_by_home(homes, blocks, block_schema))
@@ -191,4 +193,4 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     """A query has at most k rows from each shard; of these the k best."""
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id")))), 1, k)
     rows = found.groupBy("query_row", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
+    return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.nullif("b.vec_id", F.lit(int(UNNAMED))).alias("vec_id"), (-F.col("b.less")).alias("score"))
