@@ -22,7 +22,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -52,8 +53,8 @@ MIN_COMMON, MIN_ANSWER = 0.75, 0.5
 #: What makes a paraphrase: this share of the item's words in common order, and of those that few documents have, which
 #: must be so many at least; this share of its answer's words, not all of them in many documents; and this cosine.
 LIKE_COMMON, LIKE_TELLING, LIKE_ANSWER, LIKE_COSINE = 0.45, 4, 0.9, 0.25
-#: Passages of a text that are looked at together.
-TOGETHER = 2_048
+#: Passages, and characters of texts, that are looked at together.
+TOGETHER, CHARACTERS = 2_048, 1 << 21
 
 # ASCII but letters, digits and underscore parts words.
 _PARTING = bytes(0x20 if b < 0x80 and not (chr(b).isalnum() or b == 0x5F) else b for b in range(256))
@@ -92,7 +93,7 @@ class Item:
 
 @dataclass
 class Class:
-    """Items of like length and weight, searched alike: their places, weights, and unit vectors; these are projected
+    """Items of like length, searched alike: their places, weights, and unit vectors; these are projected
     ones (a matrix), or whole ones: for each word from its start to the next one's the items that have it, and how
     much of their length it is."""
 
@@ -120,52 +121,65 @@ class Index:
     #: How much of each item's length the projection keeps.
     kept: np.ndarray
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, count=len(words))
+    @cached_property
+    def weighted(self) -> np.ndarray:
+        """Each word's direction times its weight."""
+        return self.project * self.weight[:, None].astype(np.float32)
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, cosine, common share, answer share) of each item that leaked into the text."""
-        words = words_of(text)
-        if not words:
-            return []
-        ids = self.ids(words)
-        telling = np.flatnonzero((ids >= 0) & (self.weight[ids] > 0))
+        return self.leaks_of([text])[0]
+
+    def leaks_of(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+        """The leaks of each text. Texts are looked at together: their words stand in one line, and windows end where
+        their text does."""
+        said = [words_of(t) for t in texts]
+        best: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in texts]
+        lengths = np.array([len(w) for w in said])
+        ends_of = np.cumsum(lengths)
+        begins = ends_of - lengths
+        ids = np.fromiter(map(self.number.get, chain.from_iterable(said), repeat(-1)), np.int64, count=int(lengths.sum()))
+        telling = np.flatnonzero(ids >= 0)
+        telling = telling[self.weight[ids[telling]] > 0]
         if not len(telling):
-            return []
+            return [[] for _ in texts]
         own = ids[telling]
         sums = np.concatenate([[0.0], np.cumsum(self.weight[own])])
-        best: dict[int, tuple[int, float, float, float]] = {}
         for c in self.classes:
             # Windows of twice the size, a size apart: each run of ``size`` words is inside of one.
-            starts = np.arange(0, max(1, len(words) - c.size), c.size)
-            ends = np.minimum(starts + 2 * c.size, len(words))
+            many = np.where(lengths > 0, -(-np.maximum(1, lengths - c.size) // c.size), 0)
+            text = np.repeat(np.arange(len(texts)), many)
+            starts = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * c.size
+            ends = np.minimum(starts + 2 * c.size, ends_of[text])
             first, last = np.searchsorted(telling, starts), np.searchsorted(telling, ends)
             heavy = sums[last] - sums[first]
-            windows = np.flatnonzero(heavy >= MIN_MASS * c.mass.min() - 1e-9)
+            windows = np.flatnonzero((heavy >= MIN_MASS * c.mass.min() - 1e-9) & (last > first))
             for at in range(0, len(windows), TOGETHER):
                 some = windows[at : at + TOGETHER]
-                for k, m, cosine in self.near(c, own, first[some], last[some]):
+                for k, m, cosine in self.near(c, own, first[some], last[some], heavy[some]):
                     k = some[k]
-                    if heavy[k] < MIN_MASS * c.mass[m] - 1e-9:
-                        continue
-                    item = self.items[c.members[m]]
-                    passage = words[max(0, int(starts[k]) - c.size // 2) : int(ends[k]) + c.size // 2]
-                    if (got := self.verify(int(c.members[m]), passage, cosine)) and (item.item_id not in best or got[2:] > best[item.item_id][2:]):
-                        best[item.item_id] = got
-        return sorted(best.values())
-
-    def near(self, c: Class, own: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(window, member, cosine) of what is near. ``own``: a text's telling words; a window has those from first to
-        last."""
+                    t = int(text[k])
+                    item, found = self.items[c.members[m]], best[t]
+                    passage = said[t][max(0, int(starts[k] - begins[t]) - c.size // 2) : int(ends[k] - begins[t]) + c.size // 2]
+                    if (got := self.verify(int(c.members[m]), passage, cosine)) and (item.item_id not in found or got[2:] > found[item.item_id][2:]):
+                        found[item.item_id] = got
+        return [sorted(x.values()) for x in best]
+
+    def near(self, c: Class, own: np.ndarray, first: np.ndarray, last: np.ndarray, heavy: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, member, cosine) of what is near, and has enough of the member's weight. ``own``: telling words; a
+        window has those from first to last, which weigh ``heavy``."""
         sizes = last - first
         spots = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
         words, window = own[spots], np.repeat(np.arange(len(first)), sizes)
         cuts = np.cumsum(sizes) - sizes
         if c.vectors is not None:
-            z = np.add.reduceat(self.project[words] * self.weight[words, None].astype(np.float32), cuts, axis=0)
-            cosines = z @ c.vectors.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            for k, m in zip(*np.nonzero(cosines >= MIN_COSINE), strict=True):
-                yield int(k), int(m), float(cosines[k, m])
+            z = np.add.reduceat(self.weighted[words], cuts, axis=0)
+            z /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
+            cosines = z @ c.vectors.T
+            at, of = np.nonzero(cosines >= MIN_COSINE)
+            enough = heavy[at] >= MIN_MASS * c.mass[of] - 1e-9
+            for k, m in zip(at[enough].tolist(), of[enough].tolist(), strict=True):
+                yield k, m, float(cosines[k, m])
             return
         # Whole vectors: a window's repeated words count as often, in its length too.
         order = np.lexsort((words, window))
@@ -180,8 +194,9 @@ class Index:
         pairs, at = np.unique(pair, return_inverse=True)
         dots = np.bincount(at, weights=np.repeat(value, held) * c.parts[listed], minlength=len(pairs))
         cosines = dots / np.maximum(length[pairs // len(c.members)], 1e-12)
-        for i in np.flatnonzero(cosines >= MIN_COSINE):
-            yield int(pairs[i] // len(c.members)), int(pairs[i] % len(c.members)), float(cosines[i])
+        at, of = pairs // len(c.members), pairs % len(c.members)
+        for i in np.flatnonzero((cosines >= MIN_COSINE) & (heavy[at] >= MIN_MASS * c.mass[of] - 1e-9)):
+            yield int(at[i]), int(of[i]), float(cosines[i])
 
     def verify(self, at: int, passage: list[bytes], cosine: float) -> tuple[int, float, float, float] | None:
         item = self.items[at]
@@ -329,11 +344,11 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     lengths = np.array([np.sqrt(x @ x) for _, x in whole])
     projected = np.array([x @ project[u] for u, x in whole])
     kept = np.linalg.norm(projected, axis=1) / np.maximum(lengths, 1e-12)
-    groups: dict[tuple[int, int, bool], list[int]] = {}
+    groups: dict[tuple[int, bool], list[int]] = {}
     for i in range(len(items)):
-        groups.setdefault((int(sizes[i]), int(np.log2(mass[i])), bool(kept[i] >= MIN_KEPT)), []).append(i)
+        groups.setdefault((int(sizes[i]), bool(kept[i] >= MIN_KEPT)), []).append(i)
     classes = []
-    for (size, _, latent), members in sorted(groups.items()):
+    for (size, latent), members in sorted(groups.items()):
         c = Class(size, np.array(members), mass[members], None)
         if latent:
             c.vectors = (projected[members] / np.maximum(np.linalg.norm(projected[members], axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -372,10 +387,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, colum
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                leaks = [
-                    [*(tuple(x.values()) for x in old), *index.value.leaks(t)]
-                    for t, old in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)
-                ]
+                texts, new = b.column(at).to_pylist(), []
+                while len(new) < len(texts):  # so many texts together as their characters allow, or one
+                    size, end = len(texts[len(new)] or ""), len(new) + 1
+                    while end < len(texts) and (size := size + len(texts[end] or "")) <= CHARACTERS:
+                        end += 1
+                    new += index.value.leaks_of(texts[len(new) : end])
+                leaks = [[*(tuple(x.values()) for x in old), *found] for found, old in zip(new, b.column(b.num_columns - 1).to_pylist(), strict=True)]
                 rows = [[dict(zip(("item_id", "cosine", "common", "answer"), x, strict=True)) for x in row] for row in leaks]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(_LEAK))], names=b.schema.names)
 
