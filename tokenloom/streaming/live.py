@@ -35,12 +35,14 @@ _HELD = "folder string, language string, generation bigint, version bigint, dele
 DELTA = "model_id string, path string, folder string, language string, generation bigint, version bigint, files bigint, tokens bigint, inexact bigint"
 
 
-#: State as timers and several values need it; batches write what changed, not all state, and nothing is set aside on
-#: disk for states that are small.
+#: State as timers and several values need it; batches write what changed, not all state; all states of an executor
+#: share its memory, and nothing is set aside on disk for those that are small.
 _ROCKSDB = {
     "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "rocksdb.changelogCheckpointing.enabled": "true",
     "rocksdb.allowFAllocate": "false",
+    "rocksdb.boundedMemoryUsage": "true",
+    "rocksdb.maxMemoryUsageMB": "256",
 }
 
 
