@@ -113,12 +113,19 @@ def owning_root(files: DataFrame, roots: DataFrame, path: str = "path", few: int
     return files.crossJoin(sent).withColumn("root", longest).drop("__roots")
 
 
-def common_root(files: DataFrame, path: str = "path") -> DataFrame:
-    """One row: the longest common run of directories. The smallest and the largest list of parts have
-    the same common prefix as all of them."""
+def _directories(path: str) -> Column:
     parts = C.segments(path)
-    directories = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    ends = files.select(directories.alias("d")).agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def common_root(files: DataFrame, path: str = "path") -> DataFrame:
+    """One row: the longest common run of directories."""
+    return _common(files.select(_directories(path).alias("d")))
+
+
+def _common(directories: DataFrame) -> DataFrame:
+    """The longest common prefix of all lists ``d``: that of the smallest and the largest."""
+    ends = directories.agg(F.min("d").alias("a"), F.max("d").alias("b"))
     least = F.least(F.size("a"), F.size("b"))
     same = F.filter(F.sequence(F.lit(0), least), lambda i: F.slice(F.col("a"), 1, i) == F.slice(F.col("b"), 1, i))
     return ends.select(F.coalesce(F.slice("a", 1, F.array_max(same)), F.array().cast("array<string>")).alias("root"))
@@ -190,7 +197,8 @@ def overlaid(texts: DataFrame, buffers: DataFrame) -> DataFrame:
 
 def ranked_slices(groups: DataFrame, most: int = R.MAX_SLICES) -> DataFrame:
     """(rank, label, tokens, files, share) of ``groups`` (label, tokens, files): the largest, then one
-    row Other for the rest. Only the largest are ever sorted together."""
+    row Other for the rest. Only the largest are ever sorted together. Groups are made once, and written."""
+    groups = written(groups)
     order = [F.desc("tokens"), by_locale("label"), F.col("label")]
     head = groups.orderBy(*order).limit(most)
     whole = groups.agg(F.sum("tokens").alias("all_tokens"), F.sum("files").alias("all_files"), F.count("*").alias("groups"))
@@ -203,9 +211,13 @@ def ranked_slices(groups: DataFrame, most: int = R.MAX_SLICES) -> DataFrame:
 
 
 def by_folder(counted: DataFrame, most: int = R.MAX_SLICES) -> DataFrame:
-    root = F.broadcast(common_root(counted))  # one row
-    labelled = counted.crossJoin(root).select(C.folder("path", "root").alias("label"), "tokens")
-    return ranked_slices(labelled.groupBy("label").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("files")), most)
+    """Slices of the folders directly below the common root. Files are summed by directory first, in one pass; the root
+    and the labels come from these sums."""
+    sums = written(counted.groupBy(_directories("path").alias("d")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("files")))
+    depth = F.size("root")
+    label = F.when(F.size("d") > depth, F.try_element_at("d", depth + 1)).otherwise(F.lit("(root)"))
+    labelled = sums.crossJoin(F.broadcast(_common(sums.select("d"))))  # one row
+    return ranked_slices(labelled.groupBy(label.alias("label")).agg(F.sum("tokens").alias("tokens"), F.sum("files").alias("files")), most)
 
 
 def with_language(files: DataFrame, path: str = "path") -> DataFrame:
