@@ -80,3 +80,5 @@ def test_nothing_to_learn_or_to_score(spark):
     assert G.score(df.limit(0), model).count() == 0 == G.score(df.limit(0), G.train(df), 0).count()
     with pytest.raises(ValueError, match="already has"):
         G.score(df.withColumn("Score", F.lit(1)), model)
+    with pytest.raises(ValueError, match="already has"):
+        G.score(df.withColumn("__ROW", F.lit(1)), model)

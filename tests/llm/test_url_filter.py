@@ -55,3 +55,11 @@ def test_repeats_nulls_and_nothing(spark):
     out = U.judge(pages, URL_RULES, listed).collect()
     assert sorted((r.page_id or 0, r.host, r.verdict) for r in out) == [(0, "", "block"), (1, "x.com", "block"), (1, "x.com", "block")]
     assert U.judge(pages.limit(0), URL_RULES, listed).count() == 0
+
+
+@pytest.mark.parametrize("name", ["listed", "H1", "h2", "key_", "Shard"])
+def test_names_that_would_clash_are_refused(spark, name):
+    keys = spark.createDataFrame([("x.com/p",)], "key string")
+    cascades, shards = U.build_cascades(keys, keys)
+    with pytest.raises(ValueError, match="already has"):
+        U.mark_listed(keys.withColumn(name, keys.key), "key", cascades, shards)

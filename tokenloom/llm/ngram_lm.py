@@ -241,13 +241,13 @@ _RESULT = "n_tokens long, n_known long, base_score double, score double"
 
 
 def score(docs: DataFrame, model: Model, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Score every whole text of ``docs`` (text and any other columns but the four results).
+    """Score every whole text of ``docs`` (text and any other columns but the four results and __row).
 
     Adds n_tokens (words and one end), n_known (tokens that training has), base_score (log10 of
     add-one word probabilities, from exact counts) and score (log10 probability of the model). Null
     texts count as empty, which have their end token only; repeated rows each get their scores.
     """
-    taken = {"n_tokens", "n_known", "base_score", "score"} & {c.lower() for c in docs.columns}
+    taken = {"n_tokens", "n_known", "base_score", "score", "__row"} & {c.lower() for c in docs.columns}
     if taken:
         raise ValueError(f"the input already has {sorted(taken)}")
     small_batches(docs.sparkSession)

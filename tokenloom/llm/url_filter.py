@@ -132,7 +132,10 @@ def build_cascades(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, i
 
 def mark_listed(df: DataFrame, key: str, cascades: DataFrame, shards: int, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``listed`` boolean to ``df``: whether its key is among the listed ones. ``df`` must not
-    have the columns listed, h1, h2 or shard."""
+    have the columns listed, h1, h2, key_ or shard."""
+    taken = {"listed", "h1", "h2", "key_", "shard"} & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"the input already has {sorted(taken)}")
     small_batches(df.sparkSession, 4096)
     probe = df.withColumn("key_", F.coalesce(key, F.lit(""))).select("*", *_hashes("key_")).drop("key_").withColumn("shard", F.pmod("h1", F.lit(shards)))
     names = df.columns
