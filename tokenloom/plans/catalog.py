@@ -704,16 +704,17 @@ def live_totals(spark, sf_dir):
 
 
 @query(
-    "WITH r AS (SELECT user_id, event_id // 7 AS generation, CASE WHEN event_type <> 'view' THEN event_type || ':' || event_id END AS result FROM events), "
-    "n AS (SELECT user_id, max(generation) AS generation FROM r GROUP BY user_id) SELECT user_id, generation, min(result) AS result FROM r JOIN n USING (user_id, generation) WHERE result IS NOT NULL GROUP BY user_id, generation"
+    "WITH r AS (SELECT doc_id % 1000 AS desk, doc_id // 3000 AS generation, CASE WHEN lang <> 'en' THEN lang || ':' || doc_id END AS result FROM documents), "
+    "n AS (SELECT desk, max(generation) AS generation FROM r GROUP BY desk) SELECT desk, generation, min(result) AS result FROM r JOIN n USING (desk, generation) WHERE result IS NOT NULL GROUP BY desk, generation"
 )
 def current_results(spark, sf_dir):
-    """Views ask for work, all else are results of it; only results of each user's newest request come through."""
-    path = f"{sf_dir}/events.parquet"
+    """A stream of documents: those in English ask a desk for work, the others are results; only results of each
+    desk's newest request come through."""
+    path = f"{sf_dir}/documents.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a stream of one file needs a pattern
-    result = F.when(F.col("event_type") != "view", F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")))
-    rows = stream.select("user_id", F.expr("event_id div 7").alias("generation"), result.alias("result"))
-    return _streamed(spark, live.current(rows, ["user_id"]), f"user_id {dict(stream.dtypes)['user_id']}, generation bigint, result string")
+    result = F.when(F.col("lang") != "en", F.concat("lang", F.lit(":"), F.col("doc_id").cast("string")))
+    rows = stream.select((F.col("doc_id") % 1000).cast("bigint").alias("desk"), F.expr("doc_id div 3000").alias("generation"), result.alias("result"))
+    return _streamed(spark, live.current(rows, ["desk"]), "desk bigint, generation bigint, result string")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
