@@ -202,3 +202,13 @@ def test_whatever_the_order_the_newest_result_is_the_last(spark, tmp_path, seed)
         got = [x.generation for x in out.where("k = 'a'").collect()]
         assert all(x["generation"] not in got for x in batch if x["k"] == "a" and x.get("result") and x["generation"] < known)
         seen = known
+
+
+def test_live_totals_sends_counts_instead_of_texts(spark, monkeypatch):
+    """A document that many events save is counted once; no text goes through the stream."""
+    from tokenloom.plans import catalog
+
+    seen, deltas = [], catalog.live.deltas
+    monkeypatch.setattr(catalog.live, "deltas", lambda counted: seen.append(counted._jdf.queryExecution().analyzed().toString()) or deltas(counted))
+    assert catalog.queries()["live_totals"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "event_id" in seen[0] and "text#" not in seen[0]

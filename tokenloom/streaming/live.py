@@ -104,17 +104,28 @@ def recounted(changes: DataFrame, model: R.Model | str, store: VocabularyStore |
 def counts_of(texts: DataFrame, model: R.Model | str, store: VocabularyStore | None = None, generation: int = 0, folder: Column | None = None) -> DataFrame:
     """``COUNTED`` of texts (path, version, text); a null text is of a file that is gone. ``folder``: what totals group by,
     of the column path; else the file's directory."""
-    found = model if isinstance(model, R.Model) else R.find_model(model)
-    if found is None:
-        raise ValueError(f"no such model: {model}")
+    found = _known(model)
+    counted = count_tokens(texts.select("path", "version", "text", F.col("text").isNull().alias("deleted")), found, store=store)
+    return counted_as(counted, found, generation, folder)
+
+
+def counted_as(counted: DataFrame, model: R.Model | str, generation: int = 0, folder: Column | None = None) -> DataFrame:
+    """``COUNTED`` of texts that are counted already (path, version, deleted, count, exact): where many changes bring the
+    same texts, these need not travel with each."""
     parts = C.segments("path")
     within = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/") if folder is None else folder
-    counted = count_tokens(texts.select("path", "version", "text", F.col("text").isNull().alias("deleted")), found, store=store)
     return counted.select(
-        F.lit(found.model_id).alias("model_id"), "path", within.alias("folder"), C.language("path").alias("language"), F.lit(generation).cast("bigint").alias("generation"), F.col("version").cast("bigint").alias("version"), "deleted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("exact", F.lit(False)).alias("exact")
+        F.lit(_known(model).model_id).alias("model_id"), "path", within.alias("folder"), C.language("path").alias("language"), F.lit(generation).cast("bigint").alias("generation"), F.col("version").cast("bigint").alias("version"), "deleted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("exact", F.lit(False)).alias("exact")
     )
 
 
+def _known(model: R.Model | str) -> R.Model:
+    found = model if isinstance(model, R.Model) else R.find_model(model)
+    if found is None:
+        raise ValueError(f"no such model: {model}")
+    return found
+
+
 def deltas(counted: DataFrame) -> DataFrame:
     """``DELTA`` of a stream of ``COUNTED``: a file's old count off, its new one on."""
     ship(counted.sparkSession)
