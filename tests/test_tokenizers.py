@@ -221,3 +221,15 @@ def test_every_model(spark):
     df = spark.createDataFrame([(1, "abcdefghij")], "id int, text string")
     out = {r.model_id: r.tokens for r in counting.estimate_all(df, ["id"]).collect()}
     assert len(out) == 71 and out["claude-opus-5"] == 4 and out["gpt-5"] == 3
+
+
+def test_workers_get_the_pieces_of_few_texts_at_a_time(spark):
+    """Arrow batches of ten thousand texts' pieces would fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        T.count_exact(spark.createDataFrame([("Hello",)], "text string"), T.RankVocabulary(T.synthetic_ranks())).collect()
+        assert int(spark.conf.get(name)) <= 512
+    finally:
+        spark.conf.set(name, before)
