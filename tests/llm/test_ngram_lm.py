@@ -82,3 +82,19 @@ def test_nothing_to_learn_or_to_score(spark):
         G.score(df.withColumn("Score", F.lit(1)), model)
     with pytest.raises(ValueError, match="already has"):
         G.score(df.withColumn("__ROW", F.lit(1)), model)
+
+
+def test_scores_by_shard_are_the_same_and_write_little(spark):
+    """Beyond what is broadcast, scores are the same, and less than three bytes are written for each of a text's."""
+    import os
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    folder, size = spark.conf.get("spark.checkpoint.dir"), docs.selectExpr("sum(octet_length(text))").first()[0]
+    model = G.train(docs)
+    held = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+    wanted = {r.doc_id: r for r in G.score(docs, model).drop("text").collect()}
+    before = held()
+    found = {r.doc_id: r for r in G.score(docs, model, 0).drop("text").collect()}
+    assert held() - before < 3 * size
+    assert found.keys() == wanted.keys()
+    assert all(r[1:3] == wanted[i][1:3] and r.score == pytest.approx(wanted[i].score) and r.base_score == pytest.approx(wanted[i].base_score) for i, r in found.items())
