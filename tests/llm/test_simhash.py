@@ -145,3 +145,14 @@ def test_fingerprints_find_near_copies_without_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
     kept = {x.doc_id for x in S.keep_similar(df).collect()}
     assert {i for i in kept if i >= 500} == set(range(500, 520)) and len(kept) <= 22
+
+
+def test_tables_on_the_way_to_similar_texts_do_not_stay(spark):
+    from tests.llm.test_line_dedup import left_behind
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "quite unlike the two"), (4, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = []
+    assert len(left_behind(spark, lambda: out.append(S.keep_similar(df)))) == 1
+    assert sorted(r.doc_id for r in out[0].collect()) == [1, 3]

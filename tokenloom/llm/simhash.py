@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spread import spread
-from .common import pin_splits, released, small_batches, written
+from .common import pin_splits, released, scratch, small_batches, written
 from .components import components
 
 SEED = 42
@@ -300,9 +300,14 @@ def similar_links(texts: DataFrame, shingle: int = WIDE_SHINGLE, least: float =
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.distinct().join(texts.toDF("a", "text_a"), "a")
-        both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return written(both.mapInArrow(released(compared), "a long, b long"))
+        with scratch(pairs.sparkSession) as keep:
+            pairs = written(pairs.distinct())
+            # Only texts that are in a pair are dealt to meet it.
+            needed = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+            few = needed.count() <= BROADCAST_ROWS
+            own = texts.join(F.broadcast(needed) if few else needed, "fp", "left_semi")
+            both = pairs.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+            return keep(both.mapInArrow(released(compared), "a long, b long"))
 
     # One text stands for all of a fingerprint; fingerprints that link bring their texts together.
     nodes = written(printed.groupBy("bits").agg(F.min("fp").alias("one")))
@@ -333,10 +338,11 @@ def _keep_first(docs: DataFrame, print_of: Callable, components_of: Callable) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["row", "doc_id", "fp"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(spread(numbered).mapInArrow(released(run), "row long, doc_id long, fp long"))
-    grouped = written(prints.join(components_of(prints, numbered.select("row", "text")), "fp"))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    gone = written(grouped.select("row").join(first, "row", "left_anti")).withColumnRenamed("row", "__row")
+    with scratch(docs.sparkSession) as keep:
+        prints = written(spread(numbered).mapInArrow(released(run), "row long, doc_id long, fp long"))
+        grouped = written(prints.join(components_of(prints, numbered.select("row", "text")), "fp"))
+        first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+        gone = keep(grouped.select("row").join(first, "row", "left_anti")).withColumnRenamed("row", "__row")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(docs.columns)
